@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    release(out.sparkSession)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop plans that nothing refers to, so that Spark's cleaner frees their shuffle files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def size_in_bytes(df: DataFrame) -> int:
