@@ -14,8 +14,6 @@ each row gets the smallest id of its component. A null id never is a component i
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,12 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import block_of, connected_components
-from lattica.llm.textkit import mix, pack_sorted, row_chunks, shingle_hashes, text_buffers, unpack_sorted, word_hashes, word_spans
-from lattica.session import blocks_for, cut
+from lattica.llm.textkit import mix, pack_sorted, row_chunks, shingle_hashes, squeeze, text_buffers, unpack_sorted, unsqueeze, word_hashes, word_spans
+from lattica.session import blocks_for, cut, size_in_bytes
 
 _U = np.uint64
-#: Frequencies are counted on the leading bits of a shingle's hash; they only order shingles.
-KEY_BITS = 40
 LEAF = 24
 PIVOTS = 4
 
@@ -69,35 +65,35 @@ def _own_sets(table: pa.Table, k: int) -> tuple[list[np.ndarray], np.ndarray, np
     return sets, nodes, first & np.array([len(s) > 0 for s in sets], bool)
 
 
-def _count_block(table: pa.Table, k: int, shards: int) -> pa.Table:
+def _count_block(table: pa.Table, k: int, shards: int, bits: int) -> pa.Table:
     sets, _, first = _own_sets(table, k)
-    own = [s >> _U(64 - KEY_BITS) for s, f in zip(sets, first) if f]
+    own = [s >> _U(64 - bits) for s, f in zip(sets, first) if f]
     keys, counts = np.unique(np.concatenate(own) if own else np.zeros(0, _U), return_counts=True)
-    cuts = np.searchsorted(keys, (np.arange(shards + 1, dtype=np.float64) * (float(1 << KEY_BITS) / shards)).astype(_U))
+    cuts = np.searchsorted(keys, (np.arange(shards + 1, dtype=np.float64) * (float(1 << bits) / shards)).astype(_U))
     cuts[-1] = len(keys)
-    rows = [(s, pack_sorted(keys[a:b]), zlib.compress(counts[a:b].astype(np.uint32).tobytes(), 1)) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+    rows = [(s, pack_sorted(keys[a:b]), squeeze(counts[a:b].astype(np.uint32).tobytes())) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
     return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(rows), pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
 
 
 def _sum_shard(table: pa.Table) -> pa.Table:
     """Each block's keys in order with a level: 0 for a shingle of one set only, else growing with frequency."""
     parts = [unpack_sorted(b.as_py()) for b in table.column("keys")]
-    counts = np.concatenate([np.frombuffer(zlib.decompress(b.as_py()), np.uint32) for b in table.column("counts")])
+    counts = np.concatenate([np.frombuffer(unsqueeze(b.as_py()), np.uint32) for b in table.column("counts")])
     _, at = np.unique(np.concatenate(parts), return_inverse=True)
     total = np.bincount(at, weights=counts)
     levels = np.minimum(np.ceil(np.log2(total) * 8), 255).astype(np.uint8)[at]
     cuts = np.cumsum([0, *(len(p) for p in parts)])
-    return pa.table({"block": table.column("block"), "shard": table.column("shard"), "levels": pa.array([zlib.compress(levels[a:b].tobytes(), 1) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
+    return pa.table({"block": table.column("block"), "shard": table.column("shard"), "levels": pa.array([squeeze(levels[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
 
 
-def _windows(left: pa.Table, right: pa.Table, k: int, percent: int) -> pa.Table:
+def _windows(left: pa.Table, right: pa.Table, k: int, percent: int, bits: int) -> pa.Table:
     """A row per document; where its window has shared shingles, these and the whole set."""
     sets, nodes, first = _own_sets(left, k)
-    own = [s >> _U(64 - KEY_BITS) if f else np.zeros(0, _U) for s, f in zip(sets, first)]
+    own = [s >> _U(64 - bits) if f else np.zeros(0, _U) for s, f in zip(sets, first)]
     _, at = np.unique(np.concatenate(own) if own else np.zeros(0, _U), return_inverse=True)
     shards = np.array(right.column("shard").to_pylist(), np.int64)
     blobs = right.column("levels")
-    levels = np.frombuffer(b"".join(zlib.decompress(blobs[int(i)].as_py()) for i in np.argsort(shards)), np.uint8)
+    levels = np.frombuffer(b"".join(unsqueeze(blobs[int(i)].as_py()) for i in np.argsort(shards)), np.uint8)
     cuts = np.cumsum([0, *map(len, own)])
     keys: list = [None] * len(sets)
     whole: list = [None] * len(sets)
@@ -239,16 +235,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column
     """
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     blocks = blocks_for(docs, block_bytes)
+    #: Frequencies are counted on leading bits of a shingle's hash, enough to tell shingles apart; they only order them.
+    bits = min(56, max(32, size_in_bytes(docs).bit_length() + 4))
     source = source.withColumn("block", block_of(blocks, "id")).select("block", "id", "text")
-    counted = source.groupBy("block").applyInArrow(lambda t: _count_block(t, k, blocks), "shard int, block int, keys binary, counts binary")
+    counted = source.groupBy("block").applyInArrow(lambda t: _count_block(t, k, blocks, bits), "shard int, block int, keys binary, counts binary")
     levels = cut(counted.groupBy("shard").applyInArrow(_sum_shard, "block int, shard int, levels binary"))
-    rows = cut(source.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(lambda t, levels: _windows(t, levels, k, percent), "id long, n long, node long, keys array<long>, shingles binary"))
+    rows = cut(source.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(lambda t, levels: _windows(t, levels, k, percent, bits), "id long, n long, node long, keys array<long>, shingles binary"))
 
     anchors = rows.where("keys is not null").select("node", F.explode("keys").alias("key")).distinct()
     met = anchors.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
     candidates = connected_components(anchors.join(met, "key").select(F.col("node").alias("a"), "b").distinct())
     members = rows.where("shingles is not null").select("node", "n", "shingles").join(candidates, "node")
-    members, links = _peel(cut(members.dropDuplicates(["node"])), percent, region_shingles)
+    weights = members.select("component", "node", "n").distinct().groupBy("component").agg(F.sum("n").alias("s"))
+    links: list[DataFrame] = []
+    if weights.where(F.col("s") > region_shingles).limit(1).count():
+        members, links = _peel(cut(members.dropDuplicates(["node"])), percent, region_shingles)
     linked = members.groupBy("component").applyInArrow(lambda t: _join_region(t, percent), "a long, b long")
     if links:
         for more in links:

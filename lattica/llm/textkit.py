@@ -110,20 +110,31 @@ def code_points_before(data: np.ndarray, positions: np.ndarray) -> np.ndarray:
     return sums[positions]
 
 
+def squeeze(data: bytes) -> bytes:
+    """Compressed bytes with their size in front."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True) if data else b""
+
+
+def unsqueeze(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True) if blob else b""
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Ascending unsigned integers as fixed-width differences."""
+    """Ascending unsigned integers as differences, byte plane by byte plane."""
     if not len(keys):
         return b""
     steps = np.diff(keys, prepend=_U(0))
     width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    return bytes([width]) + np.ascontiguousarray(steps).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    planes = np.ascontiguousarray(steps).view(np.uint8).reshape(-1, 8)[:, :width].T
+    return squeeze(bytes([width]) + np.ascontiguousarray(planes).tobytes())
 
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
     """The keys that ``pack_sorted`` packed."""
     if not blob:
         return np.zeros(0, _U)
-    width = blob[0]
-    wide = np.zeros(((len(blob) - 1) // width, 8), np.uint8)
-    wide[:, :width] = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, width)
+    data = np.frombuffer(unsqueeze(blob), np.uint8)
+    width = int(data[0])
+    wide = np.zeros(((len(data) - 1) // width, 8), np.uint8)
+    wide[:, :width] = data[1:].reshape(width, -1).T
     return np.cumsum(wide.view(_U).ravel())
