@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.session import cut
 
@@ -31,3 +36,32 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = stepped.select("node", F.col("next").alias("component"))
         if not stepped.where("moved").limit(1).count():
             return labels
+
+
+def map_rows(df: DataFrame, function: Callable[[pa.StructArray], dict], ddl: str, columns: list[str] | None = None, most_bytes: int = 8 << 20) -> DataFrame:
+    """``row`` (a struct of ``columns``, all by default) beside what ``function`` makes of whole rows.
+
+    The function gets struct arrays of at most about ``most_bytes`` (a longer row alone) and returns columns
+    in the order of ``ddl``. As the input stays inside ``row``, its names can clash with nothing.
+    """
+    source = df.select(F.struct(*(F.col(f"`{c}`") for c in columns or df.columns)).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, batch.num_rows * most_bytes // max(batch.nbytes, 1))
+            for at in range(0, batch.num_rows, step):
+                piece = batch.slice(at, step)
+                made = function(piece.column(0))
+                yield pa.RecordBatch.from_arrays([piece.column(0), *made.values()], ["row", *made])
+
+    return source.mapInArrow(run, T.StructType([source.schema["row"], *T.StructType.fromDDL(ddl).fields]))
+
+
+def field(rows: pa.StructArray, name: str) -> pa.Array:
+    """One column of the rows that ``map_rows`` hands over."""
+    return pc.struct_field(rows, name)
+
+
+def bounded_sample(df: DataFrame, id_column: str, rows: int) -> DataFrame:
+    """The ``rows`` rows of smallest hash of the id; a fit on them is the same in every run."""
+    return df.orderBy(F.xxhash64(id_column), id_column).limit(rows)

@@ -3,16 +3,95 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lattica.llm import chat_format, decontaminate, lang_nb, quality_gbt, secret_crf, sp_tokenizer
 from lattica.llm.jaccard_join import jaccard_components
 from lattica.session import table
 
+#: The tokenizer model; its place is a parameter of the operator.
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_crf.find_secrets(docs, secret_crf.fit_secrets(docs), columns=["doc_id", "text"])
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("row.doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(secret_crf.spelled(base), 256).alias("base_sha256"), secret_crf.spelled(F.col("spans")).alias("spans"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = quality_gbt.judge_quality(docs, quality_gbt.fit_quality(docs, table(spark, sf_dir, "labels")), columns=["doc_id", "text"])
+    return judged.select("row.doc_id", *quality_gbt.BASE, "base_failed", "kept", "quality")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sp_tokenizer.encode_texts(table(spark, sf_dir, "documents"), MODEL_PATH, columns=["doc_id", "text"])
+    return encoded.select("row.doc_id", "n_tokens", "n_bytes", "ids_sha256", "exact")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lang_nb.fit_languages(docs.where(~held_out("doc_id", 3, 1)))
+    predicted = lang_nb.predict_languages(docs, model, columns=["doc_id", "text"])
+    return predicted.select("row.doc_id", held_out("row.doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+def held_out(id_column: str, parts: int, held: int):
+    """Whether a document is kept from learning; a null id is not."""
+    return F.coalesce(F.crc32(F.col(id_column).cast("string")) % parts == held, F.lit(False))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], rows.schema)
+    return chat_format.format_conversations(rows.union(own))
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = decontaminate.scan_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), columns=["doc_id", "text"])
+    return scanned.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontaminate.items_digest().alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_secret_scans": op3_secret_scans,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_language_id": op7_language_id,
+    "op9_chat_formatting": op9_chat_formatting,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
+}
+_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_ESCAPED = "(length({0}) + length({0}) - length(replace({0}, '\\', '')) + " + " + ".join(f"(length({{0}}) - length(replace({{0}}, '{c}', ''))) // {len(c)}" for c in chat_format.CONTROL) + ")"
+ORACLE_SQL: dict[str, str] = {
+    "op9_chat_formatting": f"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(22 + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS rewrites
+        FROM t GROUP BY conv_id""",
+    "op10_benchmark_decontamination": f"""
+        WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        win AS (SELECT DISTINCT item_id, least(len(w), 13) AS k, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS t
+                FROM b, LATERAL (SELECT unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS i) WHERE len(w) > 0),
+        d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        g AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS t
+              FROM d, (SELECT DISTINCT k FROM win), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i) WHERE len(w) >= k),
+        hit AS (SELECT doc_id, g.k, i, item_id FROM g JOIN win USING (k, t)),
+        n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM (SELECT DISTINCT doc_id, i, k FROM hit)) GROUP BY doc_id),
+        m AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
 }
-ORACLE_SQL: dict[str, str] = {}
