@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import chat_format, decontaminate, lang_nb, quality_gbt, secret_crf, sp_tokenizer
+from lattica.llm import chat_format, decontaminate, lang_nb, license_scan, ngram_lm, quality_gbt, secret_crf, sp_tokenizer, url_trust
 from lattica.llm.jaccard_join import jaccard_components
 from lattica.session import table
 
@@ -17,6 +17,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judge_pages(table(spark, sf_dir, "pages")).select("row.page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secret_crf.find_secrets(docs, secret_crf.fit_secrets(docs), columns=["doc_id", "text"])
@@ -25,6 +29,11 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(secret_crf.spelled(base), 256).alias("base_sha256"), secret_crf.spelled(F.col("spans")).alias("spans"))
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"), columns=["doc_id", "text"])
+    return found.select("row.doc_id", F.size("licenses").cast("long").alias("n_licenses"), "licenses")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = quality_gbt.judge_quality(docs, quality_gbt.fit_quality(docs, table(spark, sf_dir, "labels")), columns=["doc_id", "text"])
@@ -48,6 +57,10 @@ def held_out(id_column: str, parts: int, held: int):
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % parts == held, F.lit(False))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_texts(table(spark, sf_dir, "documents"), held_out("doc_id", 7, 2))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
@@ -62,10 +75,13 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_url_filters": op2_url_filters,
     "op3_secret_scans": op3_secret_scans,
+    "op4_license_scans": op4_license_scans,
     "op5_quality_rules": op5_quality_rules,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }

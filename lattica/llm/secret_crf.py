@@ -328,8 +328,9 @@ def fit_secrets(docs: DataFrame, fit_rows: int = 3_000, made: int = 600, id_colu
 # ---- the operator ---------------------------------------------------------------------------------------
 
 
-def find_secrets(docs: DataFrame, model: Field, text_column: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """``row`` with spans (kind, start, end in code points): all pattern matches, and the field's beside them."""
+def find_secrets(docs: DataFrame, model: Field, text_column: str = "text", columns: list[str] | None = None, redact: bool = False) -> DataFrame:
+    """``row`` with spans (kind, start, end in code points): all pattern matches, and the field's beside them;
+    if asked for, also the text with all spans redacted (null stays null)."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     tables: dict = {}
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -338,16 +339,20 @@ def find_secrets(docs: DataFrame, model: Field, text_column: str = "text", colum
         if "table" not in tables:
             tables["table"] = _Words(shipped.value)
         out = []
-        for text in field(rows, text_column).to_pylist():
+        texts = field(rows, text_column).to_pylist()
+        for text in texts:
             text = text or ""
             data = text.encode()
             base = base_spans(text, data)
             more = [s for s in crf_spans(shipped.value, tables["table"], text, data) if not any(b[1] < s[2] and s[1] < b[2] for b in base)]
             spans = sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
             out.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-        return {"spans": pa.array(out, kind)}
+        found = {"spans": pa.array(out, kind)}
+        if redact:
+            found["redacted"] = pa.array([redacted(t, [(s["start"], s["end"]) for s in o]) for t, o in zip(texts, out)], pa.string())
+        return found
 
-    return map_rows(docs, scan, "spans array<struct<kind:string,start:bigint,end:bigint>>", columns)
+    return map_rows(docs, scan, "spans array<struct<kind:string,start:bigint,end:bigint>>" + (", redacted string" if redact else ""), columns)
 
 
 def spelled(spans):
