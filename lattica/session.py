@@ -41,6 +41,9 @@ def size_in_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def blocks_for(df: DataFrame, block_bytes: int, at_least: int = 4) -> int:
-    """How many blocks of about ``block_bytes`` of stored input ``df`` makes."""
-    return max(at_least, -(-size_in_bytes(df) // block_bytes))
+def blocks_for(df: DataFrame, block_bytes: int, least_bytes: int = 256 << 10) -> int:
+    """How many blocks of about ``block_bytes`` of stored input ``df`` makes; a smaller input is dealt to as
+    many blocks as there are shuffle partitions, if they get ``least_bytes`` each."""
+    size = size_in_bytes(df)
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(4, -(-size // block_bytes), min(wanted, size // least_bytes))
