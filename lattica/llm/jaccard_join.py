@@ -118,10 +118,19 @@ class Region:
     def __init__(self, sets: list[np.ndarray], percent: int):
         self.sizes = np.array([len(s) for s in sets])
         self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.values = np.concatenate(sets)
+        distinct, self.values = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(distinct), bool)
         self.percent, self.radius = percent, 1 - percent / 100
         self.root = np.arange(len(sets))
 
+    def flat(self, members: np.ndarray) -> np.ndarray:
+        """The members' shingles, one after the other."""
+        if len(members) == len(self.sizes):
+            return self.values
+        sizes = self.sizes[members]
+        bounds = np.cumsum(sizes) - sizes
+        return self.values[np.arange(sizes.sum()) + np.repeat(self.begins[members] - bounds, sizes)]
+
     def find(self, i: int) -> int:
         while self.root[i] != i:
             self.root[i] = self.root[self.root[i]]
@@ -139,21 +148,21 @@ class Region:
         pivot = self.values[self.begins[p] : self.begins[p + 1]]
         sizes = self.sizes[members]
         bounds = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.values[np.arange(bounds[-1]) + np.repeat(self.begins[members] - bounds[:-1], sizes)]
-        at = np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)
-        common = np.add.reduceat((pivot[at] == flat).astype(np.int64), bounds[:-1])
+        self.mark[pivot] = True
+        common = np.add.reduceat(self.mark[self.flat(members)].astype(np.int64), bounds[:-1])
+        self.mark[pivot] = False
         union = sizes + len(pivot) - common
         for i in members[100 * common >= self.percent * union]:
             a, b = self.find(p), self.find(i)
             self.root[max(a, b)] = min(a, b)
         return 1 - common / union
 
-    def central(self, members: np.ndarray) -> int:
-        """The member whose shingles the others share most."""
-        flat = np.concatenate([self.values[self.begins[i] : self.begins[i + 1]] for i in members])
-        _, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
-        bounds = np.concatenate([[0], np.cumsum(self.sizes[members])[:-1]])
-        return int(np.argmax(np.add.reduceat(counts[at].astype(float), bounds) / self.sizes[members]))
+    def shared(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each member how many of its shingles others have too, and how many have them on average."""
+        flat = self.flat(members)
+        counts = np.bincount(flat, minlength=len(self.mark))[flat]
+        bounds = np.cumsum(self.sizes[members]) - self.sizes[members]
+        return np.add.reduceat((counts > 1).astype(np.int64), bounds), np.add.reduceat(counts, bounds) / self.sizes[members]
 
     def join(self) -> np.ndarray:
         """The smallest member index that each member is linked with, directly or not."""
@@ -170,8 +179,13 @@ class Region:
         return self.roots(np.arange(len(self.sizes)))
 
     def split(self, members: np.ndarray) -> list[np.ndarray]:
-        """Voronoi regions of a few pivots with their windows; a ball that pivots can't part loses its core."""
-        chosen, rows = [self.central(members)], []
+        """Voronoi regions of a few pivots with their windows, the first being the one whose shingles the others
+        share most; a ball that pivots can't part loses them."""
+        common, weight = self.shared(members)
+        open_ = 100 * common >= self.percent * self.sizes[members]  # else too few shingles are left for any link
+        if not open_.all():
+            return [members[open_]]
+        chosen, rows = [int(np.argmax(weight))], []
         for _ in range(PIVOTS):
             rows.append(self.measure(members[chosen[-1]], members))
             chosen.append(int(np.argmax(np.min(rows, axis=0))))
