@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,16 +25,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    del df
-    release(out.sparkSession)
-    return out
+    return df.checkpoint(eager=True)
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver drop plans that nothing refers to, so that Spark's cleaner frees their shuffle files."""
+    """Let the driver drop plans that nothing refers to, so that Spark's cleaner frees their shuffle files.
+
+    Called between the large steps of a query; listeners need a moment to let go of a finished plan.
+    """
+    time.sleep(0.3)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
 
 
 def size_in_bytes(df: DataFrame) -> int:
