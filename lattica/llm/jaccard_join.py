@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import block_of, connected_components
-from lattica.llm.textkit import mix, pack_sorted, row_chunks, shingle_hashes, squeeze, text_buffers, unpack_sorted, unsqueeze, word_hashes, word_spans
-from lattica.session import blocks_for, cut, size_in_bytes
+from lattica.llm.textkit import mix, pack_counts, pack_sorted, row_chunks, shingle_hashes, squeeze, text_buffers, unpack_counts, unpack_sorted, unsqueeze, word_hashes, word_spans
+from lattica.session import blocks_for, cut, release, size_in_bytes
 
 _U = np.uint64
 LEAF = 24
@@ -71,14 +71,14 @@ def _count_block(table: pa.Table, k: int, shards: int, bits: int) -> pa.Table:
     keys, counts = np.unique(np.concatenate(own) if own else np.zeros(0, _U), return_counts=True)
     cuts = np.searchsorted(keys, (np.arange(shards + 1, dtype=np.float64) * (float(1 << bits) / shards)).astype(_U))
     cuts[-1] = len(keys)
-    rows = [(s, pack_sorted(keys[a:b]), squeeze(counts[a:b].astype(np.uint32).tobytes())) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+    rows = [(s, pack_sorted(keys[a:b]), pack_counts(counts[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
     return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(rows), pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
 
 
 def _sum_shard(table: pa.Table) -> pa.Table:
     """Each block's keys in order with a level: 0 for a shingle of one set only, else growing with frequency."""
     parts = [unpack_sorted(b.as_py()) for b in table.column("keys")]
-    counts = np.concatenate([np.frombuffer(unsqueeze(b.as_py()), np.uint32) for b in table.column("counts")])
+    counts = np.concatenate([unpack_counts(b.as_py()) for b in table.column("counts")])
     _, at = np.unique(np.concatenate(parts), return_inverse=True)
     total = np.bincount(at, weights=counts)
     levels = np.minimum(np.ceil(np.log2(total) * 8), 255).astype(np.uint8)[at]
@@ -254,8 +254,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column
     source = source.withColumn("block", block_of(blocks, "id")).select("block", "id", "text")
     counted = source.groupBy("block").applyInArrow(lambda t: _count_block(t, k, blocks, bits), "shard int, block int, keys binary, counts binary")
     levels = cut(counted.groupBy("shard").applyInArrow(_sum_shard, "block int, shard int, levels binary"))
+    del counted
+    release(docs.sparkSession)
     rows = cut(source.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(lambda t, levels: _windows(t, levels, k, percent, bits), "id long, n long, node long, keys array<long>, shingles binary"))
 
+    release(docs.sparkSession)
     anchors = rows.where("keys is not null").select("node", F.explode("keys").alias("key")).distinct()
     met = anchors.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
     candidates = connected_components(anchors.join(met, "key").select(F.col("node").alias("a"), "b").distinct())

@@ -119,22 +119,30 @@ def unsqueeze(blob: bytes) -> bytes:
     return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True) if blob else b""
 
 
-def pack_sorted(keys: np.ndarray) -> bytes:
-    """Ascending unsigned integers as differences, byte plane by byte plane."""
-    if not len(keys):
+def pack_counts(values: np.ndarray) -> bytes:
+    """Unsigned integers, byte plane by byte plane."""
+    if not len(values):
         return b""
-    steps = np.diff(keys, prepend=_U(0))
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    planes = np.ascontiguousarray(steps).view(np.uint8).reshape(-1, 8)[:, :width].T
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values, _U).view(np.uint8).reshape(-1, 8)[:, :width].T
     return squeeze(bytes([width]) + np.ascontiguousarray(planes).tobytes())
 
 
-def unpack_sorted(blob: bytes) -> np.ndarray:
-    """The keys that ``pack_sorted`` packed."""
+def unpack_counts(blob: bytes) -> np.ndarray:
     if not blob:
         return np.zeros(0, _U)
     data = np.frombuffer(unsqueeze(blob), np.uint8)
     width = int(data[0])
     wide = np.zeros(((len(data) - 1) // width, 8), np.uint8)
     wide[:, :width] = data[1:].reshape(width, -1).T
-    return np.cumsum(wide.view(_U).ravel())
+    return wide.view(_U).ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Ascending unsigned integers as differences."""
+    return pack_counts(np.diff(keys, prepend=_U(0))) if len(keys) else b""
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    """The keys that ``pack_sorted`` packed."""
+    return np.cumsum(unpack_counts(blob), dtype=_U)
