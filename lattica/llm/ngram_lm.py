@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import block_of
-from lattica.llm.textkit import mix, pack_sorted, squeeze, text_buffers, unpack_sorted, unsqueeze, word_hashes, word_spans
-from lattica.session import blocks_for, cut, size_in_bytes
+from lattica.llm.textkit import mix, pack_counts, pack_sorted, text_buffers, unpack_counts, unpack_sorted, word_hashes, word_spans
+from lattica.session import blocks_for, cut, release, size_in_bytes
 
 _U = np.uint64
 START, END = _U(0xA5A5A5A5A5A5A5A5), _U(0x5A5A5A5A5A5A5A5A)
@@ -81,28 +81,46 @@ class EliasFano:
         place = word * 64 + _nth_bit(self.high[word], i - self.ones[word])
         return ((place - i).astype(_U) << _U(self.low_bits)) | self.low_of(i)
 
+    def _behind_zero(self, k: np.ndarray) -> np.ndarray:
+        """The place behind the ``k``-th zero of the bit vector (from 0); 0 for k = -1."""
+        asked = np.maximum(k, 0)
+        word = np.searchsorted(self.zeros, asked, "right") - 1
+        return np.where(k < 0, 0, word * 64 + _nth_bit(~self.high[word], asked - self.zeros[word]) + 1)
+
     def find(self, values: np.ndarray) -> np.ndarray:
-        """The place of the successor of each value where it equals the value, else -1."""
+        """The place of the successor of each value where it equals the value, else -1.
+
+        Values of one high part lie between two zeros; a binary search over their low bits follows.
+        """
         out = np.full(len(values), -1, np.int64)
         if not self.n or not len(values):
             return out
         high = (values >> _U(self.low_bits)).astype(np.int64)
-        low = values & _U((1 << self.low_bits) - 1)
-        open_ = np.flatnonzero(high < int(self.zeros[-1]))
-        k = high[open_] - 1
-        first = k < 0
-        word = np.searchsorted(self.zeros, np.maximum(k, 0), "right") - 1
-        place = np.where(first, -1, word * 64 + _nth_bit(~self.high[word], np.maximum(k, 0) - self.zeros[word])) + 1
-        while len(open_):
-            inside = (self.high[place >> 6] >> (place & 63).astype(_U)) & _U(1) == 1
-            open_, place = open_[inside], place[inside]
-            i = place - high[open_]
-            seen = self.low_of(i)
-            out[open_[seen == low[open_]]] = i[seen == low[open_]]
-            more = seen < low[open_]
-            open_, place = open_[more], place[more] + 1
+        open_ = np.flatnonzero(high + 1 < int(self.zeros[-1]))
+        high, low = high[open_], (values & _U((1 << self.low_bits) - 1))[open_]
+        begin, end = self._behind_zero(high - 1) - high, self._behind_zero(high) - high - 1
+        last = end.copy()
+        while True:
+            more = np.flatnonzero(begin < end)
+            if not len(more):
+                break
+            middle = (begin[more] + end[more]) >> 1
+            less = self.low_of(middle) < low[more]
+            begin[more[less]] = middle[less] + 1
+            end[more[~less]] = middle[~less]
+            if len(more) < len(open_) // 2:  # the rest is settled: go on with fewer
+                settled = np.ones(len(open_), bool)
+                settled[more] = False
+                self._settle(out, open_[settled], begin[settled], last[settled], low[settled])
+                open_, begin, end, last, low = (x[more] for x in (open_, begin, end, last, low))
+        self._settle(out, open_, begin, last, low)
         return out
 
+    def _settle(self, out: np.ndarray, at: np.ndarray, place: np.ndarray, last: np.ndarray, low: np.ndarray) -> None:
+        inside = np.flatnonzero(place < last)
+        equal = inside[self.low_of(place[inside]) == low[inside]]
+        out[at[equal]] = place[equal]
+
 
 class Level:
     """The nodes of one order under the nodes of the order before, sorted by parent and word."""
@@ -148,7 +166,12 @@ def mapped(array: np.ndarray) -> np.ndarray:
     with tempfile.TemporaryFile() as file:
         array.tofile(file)
         file.flush()
-        return np.memmap(file, array.dtype, "r", shape=array.shape)
+        return np.asarray(np.memmap(file, array.dtype, "r", shape=array.shape))
+
+
+def key_bits(order: int, bits: int) -> int:
+    """Words keep 60 bits of their hash; longer n-grams ``bits``, as a false match there moves a probability only."""
+    return 60 if order == 1 else bits
 
 
 class Grams:
@@ -166,7 +189,7 @@ class Grams:
         inner[last] = False
         self.tokens[inner], self.tokens[last] = word_hashes(data, starts, ends), END
         place = np.arange(self.begins[-1]) - np.repeat(self.begins[:-1], self.counts)
-        self.rows, shift = rows, _U(64 - bits)
+        self.rows = rows
         #: For each order: the keys of tokens that have one; tokens with a long enough context.
         self.has = [place + 2 >= k for k in range(1, order + 1)]
         self.keys = []
@@ -176,20 +199,20 @@ class Grams:
                 before = np.concatenate([np.full(back, START), self.tokens[: len(self.tokens) - back]]) if back else self.tokens
                 before = np.where(place < back, START, before)
                 h = mix(h * _U(0xD6E8FEB86659FD93) + before)
-            self.keys.append(h >> shift)
+            self.keys.append(h >> _U(64 - key_bits(k, bits)))
 
 
 def _count_block(table: pa.Table, order: int, shards: int, bits: int) -> pa.Table:
     grams = Grams(table.column("text"), order, bits)
     train = np.repeat(np.array(table.column("train").to_pylist(), bool), grams.counts)
-    size = -(-(1 << bits) // shards)
     columns: list[list] = []
-    for has, keys in zip(grams.has, grams.keys):
+    for k, (has, keys) in enumerate(zip(grams.has, grams.keys), 1):
+        size = -(-(1 << key_bits(k, bits)) // shards)
         own, at = np.unique(keys[has], return_inverse=True)
         counts = np.bincount(at, weights=train[has], minlength=len(own)).astype(np.uint32)
         cuts = np.searchsorted(own, np.arange(shards + 1).astype(_U) * _U(size))
         columns.append([pack_sorted(own[a:b]) for a, b in zip(cuts[:-1], cuts[1:])])
-        columns.append([squeeze(counts[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])])
+        columns.append([pack_counts(counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:])])
     block = table.column("block")[0].as_py()
     return pa.table({"shard": pa.array(range(shards), pa.int32()), "block": pa.array([block] * shards, pa.int32()), "keys": pa.array(list(zip(*columns[::2])), pa.list_(pa.binary())), "counts": pa.array(list(zip(*columns[1::2])), pa.list_(pa.binary()))})
 
@@ -202,12 +225,12 @@ def _sum_shard(table: pa.Table, order: int) -> pa.Table:
     for k in range(order):
         parts = [unpack_sorted(row[k]) for row in keys]
         _, at = np.unique(np.concatenate(parts), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([np.frombuffer(unsqueeze(row[k]), np.uint32) for row in counts])).astype(np.uint64) if len(at) else np.zeros(0, _U)
+        total = np.bincount(at, weights=np.concatenate([unpack_counts(row[k]) for row in counts])).astype(np.uint64) if len(at) else np.zeros(0, _U)
         if not k:
             tokens, types = int(total.sum()), int((total > 0).sum())
         cuts = np.cumsum([0, *map(len, parts)])
         for answer, a, b in zip(answers, cuts[:-1], cuts[1:]):
-            answer.append(squeeze(total[at[a:b]].tobytes()))
+            answer.append(pack_counts(total[at[a:b]]))
     n = len(keys)
     return pa.table({"block": pa.array([*table.column("block").to_pylist(), -1], pa.int32()), "shard": pa.array([*table.column("shard").to_pylist(), -1], pa.int32()), "counts": pa.array([*answers, []], pa.list_(pa.binary())), "tokens": pa.array([0] * n + [tokens], pa.int64()), "types": pa.array([0] * n + [types], pa.int64())})
 
@@ -215,7 +238,7 @@ def _sum_shard(table: pa.Table, order: int) -> pa.Table:
 def _score_block(left: pa.Table, right: pa.Table, order: int, bits: int, tokens: int, types: int, weight: float) -> pa.Table:
     grams = Grams(left.column("text"), order, bits)
     answers = [right.column("counts")[int(i)].as_py() for i in np.argsort(np.array(right.column("shard").to_pylist()))]
-    counts = [np.frombuffer(b"".join(unsqueeze(a[k]) for a in answers), _U).astype(np.int64) for k in range(order)]
+    counts = [np.concatenate([unpack_counts(a[k]) for a in answers]).astype(np.int64) for k in range(order)]
     total = tokens + types + 1
     # Order 1: the ids of the block's words, START being one more.
     own, ids = np.unique(grams.keys[0], return_inverse=True)
@@ -237,7 +260,7 @@ def _score_block(left: pa.Table, right: pa.Table, order: int, bits: int, tokens:
         count, one = counts[k], has[first]
         up, word = parent[one], ids[one]
         lowered = scores[one]
-        order_by = np.lexsort((word, up))
+        order_by = np.argsort((up + 1) * (len(own) + 1) + word)
         kept = order_by[(count[order_by] > 0) & (up[order_by] >= 0)]
         logs = np.log10((count[kept] + weight * 10 ** lowered[kept]) / (parent_count[one][kept] + weight))
         level = Level(up[kept], word[kept], logs, np.log10(weight / (count[kept] + weight)), above, mapped)
@@ -267,10 +290,12 @@ def score_texts(docs: DataFrame, held_out, id_column: str = "doc_id", text_colum
     ``held_out`` is a column; what it marks is scored but not learned from. ``weight`` is the smoothing mu.
     """
     blocks = blocks_for(docs, block_bytes)
-    bits = min(60, size_in_bytes(docs).bit_length() + 26)
+    bits = min(60, size_in_bytes(docs).bit_length() + 17)
     source = docs.select(block_of(blocks, id_column).alias("block"), F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), (~held_out).alias("train"))
     counted = source.groupBy("block").applyInArrow(lambda t: _count_block(t, order, blocks, bits), "shard int, block int, keys array<binary>, counts array<binary>")
     answers = cut(counted.groupBy("shard").applyInArrow(lambda t: _sum_shard(t, order), "block int, shard int, counts array<binary>, tokens long, types long"))
+    del counted
+    release(docs.sparkSession)
     totals = answers.where("block < 0").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
     tokens, types = totals["n"] or 0, totals["v"] or 0
     asked = answers.where("block >= 0").select("block", "shard", "counts")
