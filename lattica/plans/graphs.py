@@ -70,7 +70,7 @@ QUERIES = {
     "graph_statistics": (lambda s, d: G.graph_statistics(trade(s, d), G.vertices(trade(s, d))), f"WITH {_G}, {_N}, a AS (SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM g) AS edges) SELECT nodes, edges, floor(edges / (nodes * (nodes - 1)) * 10000 + 0.5) / 10000 AS density, floor(2 * edges / nodes * 100 + 0.5) / 100 AS avg_degree FROM a"),
     "graph_subgraph": (lambda s, d: G.subgraph(trade(s, d), s.range(12).withColumnRenamed("id", "id")).select("source", "target"), f"WITH {_G} SELECT source, target FROM g WHERE source < 12 AND target < 12"),
     "graph_traverse": (lambda s, d: G.traverse(trade(s, d), 0, 3), f"WITH RECURSIVE {_G}, t AS (SELECT 0 AS id, 0 AS depth, [0] AS path UNION ALL SELECT g.target, depth + 1, list_append(path, g.target) FROM t JOIN g ON g.source = t.id WHERE depth < 3 AND NOT list_contains(path, g.target)) SELECT DISTINCT id, depth FROM t"),
-    "graph_paths": (lambda s, d: G.paths_between(trade(s, d), 0, 5, 1, 4).select("hops", F.array_join("path", ">").alias("path")), f"WITH RECURSIVE {_G}, t AS (SELECT 0 AS id, 0 AS hops, [0] AS path UNION ALL SELECT g.target, hops + 1, list_append(path, g.target) FROM t JOIN g ON g.source = t.id WHERE hops < 4 AND t.id <> 5 AND NOT list_contains(path, g.target)) SELECT hops, array_to_string(path, '>') AS path FROM t WHERE id = 5 AND hops >= 1"),
+    "graph_paths": (lambda s, d: G.paths_between(trade(s, d), 0, 21, 1, 6).select("hops", F.array_join("path", ">").alias("path")), f"WITH RECURSIVE {_G}, t AS (SELECT 0 AS id, 0 AS hops, [0] AS path UNION ALL SELECT g.target, hops + 1, list_append(path, g.target) FROM t JOIN g ON g.source = t.id WHERE hops < 6 AND t.id <> 21 AND NOT list_contains(path, g.target)) SELECT hops, array_to_string(path, '>') AS path FROM t WHERE id = 21 AND hops >= 1"),
     "graph_bfs": (lambda s, d: G.bfs(trade(s, d), 0).select("id", "depth"), f"WITH RECURSIVE {_G}, {_DIST} SELECT id, depth FROM m WHERE s = 0 UNION ALL SELECT 0, 0"),
     "graph_bfs_both_typed": (lambda s, d: G.bfs(trade(s, d), 4, 6, "both", ["first"]).select("id", "depth"), f"WITH RECURSIVE {_G}, f AS (SELECT source, target FROM g WHERE type = 'first' UNION SELECT target, source FROM g WHERE type = 'first'), d AS (SELECT 4 AS id, 0 AS depth UNION SELECT target, depth + 1 FROM d JOIN f ON source = id WHERE depth < 6) SELECT id, min(depth) AS depth FROM d GROUP BY 1"),
     "graph_shortest_path": (lambda s, d: G.shortest_path(trade(s, d), 1, 20).select("depth"), f"WITH RECURSIVE {_G}, {_DIST} SELECT depth FROM m WHERE s = 1 AND id = 20"),
@@ -101,8 +101,8 @@ QUERIES = {
     "graph_all_pairs": (lambda s, d: A.all_pairs(trade(s, d)), f"WITH {_G}, " + _rounds(14, "SELECT source AS u, target AS v, weight AS d FROM g", "SELECT u, v, min(d) AS d FROM (SELECT u, v, d FROM {p} UNION ALL SELECT p.u, g.target, p.d + g.weight FROM {p} p JOIN g ON g.source = p.v WHERE p.u <> g.target) GROUP BY 1, 2") + " SELECT u, v, d FROM r14"),
     "graph_random_walks": (lambda s, d: A.random_walks(trade(s, d), 6, 2), None),
     "graph_walk_pairs": (lambda s, d: A.walk_pairs(cut(A.random_walks(trade(s, d), 6, 2)), 3), None),
-    "graph_max_flow": (lambda s, d: A.max_flow(trade(s, d), 0, 5), None),
-    "graph_k_shortest": (lambda s, d: A.k_shortest(trade(s, d), 0, 5, 4).select("rank", "cost"), f"WITH RECURSIVE {_G}, t AS (SELECT 0 AS id, 0.0::DOUBLE AS cost, [0] AS path UNION ALL SELECT g.target, cost + weight, list_append(path, g.target) FROM t JOIN g ON g.source = t.id WHERE len(path) < 8 AND t.id <> 5 AND NOT list_contains(path, g.target)) SELECT row_number() OVER (ORDER BY cost) AS rank, cost FROM t WHERE id = 5 ORDER BY cost LIMIT 4"),
+    "graph_max_flow": (lambda s, d: A.max_flow(trade(s, d), 0, 21), None),
+    "graph_k_shortest": (lambda s, d: A.k_shortest(trade(s, d), 0, 21, 4).select("rank", "cost"), f"WITH RECURSIVE {_G}, t AS (SELECT 0 AS id, 0.0::DOUBLE AS cost, [0] AS path UNION ALL SELECT g.target, cost + weight, list_append(path, g.target) FROM t JOIN g ON g.source = t.id WHERE len(path) < 11 AND t.id <> 21 AND NOT list_contains(path, g.target)) SELECT row_number() OVER (ORDER BY cost) AS rank, cost FROM t WHERE id = 21 ORDER BY cost LIMIT 4"),
     "graph_cut_metrics": (lambda s, d: _r(A.cut_metrics(trade(s, d), G.vertices(trade(s, d)).select("id", (F.col("id") % 2).alias("part")))), f"WITH {_G}, {_N} SELECT (SELECT count(*) FROM g WHERE source % 2 <> target % 2) AS cut, (SELECT sum(weight) FROM g WHERE source % 2 <> target % 2) AS cut_weight, round((SELECT max(c) / avg(c) FROM (SELECT count(*) AS c FROM n GROUP BY id % 2)), 6) AS balance"),
     "graph_influence": (lambda s, d: A.influence_spread(trade(s, d).withColumn("weight", F.lit(0.3)), [0, 5], 30), None),
     "graph_degree_seeds": (lambda s, d: A.degree_seeds(bought(s, d), 10), f"WITH {_B} SELECT source AS id, count(*) AS out_degree FROM g GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"),
