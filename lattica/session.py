@@ -7,6 +7,7 @@ import tempfile
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,17 +32,24 @@ def cut(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let the driver drop plans that nothing refers to, so that Spark's cleaner frees their shuffle files.
 
-    Called between the large steps of a query; listeners need a moment to let go of a finished plan.
+    Called between the large steps of a query. Listeners need a moment to let go of a finished plan, and what
+    has a finaliser goes with the second collection only.
     """
-    time.sleep(0.3)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):
+        time.sleep(0.3)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     time.sleep(0.3)
 
 
 def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df`` (file sizes for a scan), without running a job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's estimate of the size of ``df`` (file sizes for a scan); where it knows none, as for rows made
+    in memory, the strings are measured."""
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if estimate < 1 << 55:
+        return estimate
+    strings = sum((F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) for c, t in df.dtypes if t == "string"), F.lit(0).cast("long"))
+    return int(df.agg(F.sum(strings + 8 * len(df.columns)).alias("n")).first()["n"] or 0)
 
 
 def blocks_for(df: DataFrame, block_bytes: int, least_bytes: int = 256 << 10) -> int:
