@@ -218,7 +218,7 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
         common = len(np.intersect1d(np.frombuffer(x, _U), np.frombuffer(y, _U), assume_unique=True))
         return common / ((len(x) + len(y)) // 8 - common)
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([None if y is None else one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def _peel(members: DataFrame, percent: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
