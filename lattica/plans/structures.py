@@ -42,5 +42,5 @@ QUERIES = {
     "matrix_multiply": (lambda s, d: X.multiply(_matrix(s, d), X.transpose(_matrix(s, d))), f"WITH {_M} SELECT x.i, y.i AS j, sum(x.v * y.v) AS v FROM m x JOIN m y ON x.j = y.j GROUP BY 1, 2"),
     "matrix_add_trace": (lambda s, d: _r(X.trace_norm(X.add(_matrix(s, d), X.transpose(_matrix(s, d))))), f"WITH {_M}, t AS (SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM m UNION ALL SELECT j, i, v FROM m) GROUP BY 1, 2) SELECT round(sum(CASE WHEN i = j THEN v ELSE 0 END), 6) AS trace, round(sqrt(sum(v * v)), 6) AS frobenius FROM t"),
     "matrix_facts": (lambda s, d: X.dense_facts(_matrix(s, d).where("i < 3 and j < 3").withColumn("g", F.lit(1)), "g").select(F.round("determinant", 4).alias("determinant")), f"WITH {_M}, c AS (SELECT max(v) FILTER (i = 0 AND j = 0) AS a, max(v) FILTER (i = 0 AND j = 1) AS b, max(v) FILTER (i = 0 AND j = 2) AS c, max(v) FILTER (i = 1 AND j = 0) AS d, max(v) FILTER (i = 1 AND j = 1) AS e, max(v) FILTER (i = 1 AND j = 2) AS f, max(v) FILTER (i = 2 AND j = 0) AS g, max(v) FILTER (i = 2 AND j = 1) AS h, max(v) FILTER (i = 2 AND j = 2) AS k FROM m) SELECT round(a * (e * k - f * h) - b * (d * k - f * g) + c * (d * h - e * g), 4) AS determinant FROM c"),
-    "polynomial": (lambda s, d: _r(T(s, d, "part").select("p_partkey", X.polynomial_value([1.0, -2.0, 0.5], F.col("p_size").cast("double")).alias("y"))), "SELECT p_partkey, round(1 - 2 * p_size + 0.5 * p_size * p_size, 6) AS y FROM part"),
+    "polynomial": (lambda s, d: _r(T(s, d, "part").select("p_partkey", X.polynomial_value([1.0, -2.0, 0.5], F.col("p_size").cast("double")).alias("y"))), "SELECT p_partkey, CAST(1 - 2 * p_size + 0.5 * p_size * p_size AS DOUBLE) AS y FROM part"),
 }
