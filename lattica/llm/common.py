@@ -48,11 +48,14 @@ def map_rows(df: DataFrame, function: Callable[[pa.StructArray], dict], ddl: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            piece = made = None
             step = max(1, batch.num_rows * most_bytes // max(batch.nbytes, 1))
             for at in range(0, batch.num_rows, step):
                 piece = batch.slice(at, step)
                 made = function(piece.column(0))
                 yield pa.RecordBatch.from_arrays([piece.column(0), *made.values()], ["row", *made])
+            del batch, piece, made
+            pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, T.StructType([source.schema["row"], *T.StructType.fromDDL(ddl).fields]))
 

@@ -8,20 +8,25 @@ encoded by several threads. Null and empty texts have no tokens; repeated rows a
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
+from array import array
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+
+os.environ.setdefault("RAYON_NUM_THREADS", "2")  # threads of a batch; an executor runs one worker a core
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
 from lattica.llm.common import field, map_rows
 
 MARK = "▁"
 #: Distinct words whose ids a worker keeps.
-CACHE = 150_000
+CACHE = 120_000
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Piece types and model types of the format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -100,13 +105,19 @@ class Encoder:
         #: No piece has a marker behind another character, so merges never cross the start of a marker run.
         self.splits = self.model.escape and not any(MARK in p.lstrip(MARK) for p in usable)
         self.cuts = self.splits and not self.model.charsmap and not self.model.squeeze
-        self.first = self._build(self.model.dummy_prefix)
         self.word = self._build(False, word=True)
+        #: Pieces as they stand in a word; bytes of the fallback are decoded by the backend.
+        self.plain = [p if kind == NORMAL else "\0" for p, _, kind in self.pieces]
         self.known: dict[str, bytes] = {}
         self.lossy: set[str] = set()
         if verify:
             self.verify(data)
 
+    @cached_property
+    def first(self) -> Tokenizer:
+        """The backend for whole texts; not built where words are encoded alone."""
+        return self._build(self.model.dummy_prefix)
+
     def _build(self, prefix: bool, word: bool = False) -> Tokenizer:
         m = self.model
         unknown = next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), 0)
@@ -162,15 +173,15 @@ class Encoder:
             return [(i.tobytes(), t == d) for i, t, d in zip(ids, texts, self.decode(ids))]
         prefix = MARK if self.model.dummy_prefix else ""
         words = [_WORD.findall(f"{prefix}{t.replace(' ', MARK)}") if t else [] for t in texts]
-        new = {w for own in words for w in own if w not in self.known}
-        if len(self.known) + len(new) > CACHE:
-            self.known, self.lossy = {}, set()
-            new = {w for own in words for w in own}
-        missing = list(new)
-        found = [e.ids for e in self.word.encode_batch_fast(missing, add_special_tokens=False)]
-        for w, ids, back in zip(missing, found, self.word.decode_batch(found, skip_special_tokens=False)):
-            self.known[w] = np.array(ids, "<i4").tobytes()
-            if back != w.replace(MARK, " "):
+        distinct = set().union(*words) if words else set()
+        missing = [w for w in distinct if w not in self.known]
+        if len(self.known) + len(missing) > CACHE:  # words that this batch has again stay
+            self.known = {w: i for w in distinct if (i := self.known.get(w)) is not None}
+            self.lossy &= distinct
+        for w, encoding in zip(missing, self.word.encode_batch_fast(missing, add_special_tokens=False)):
+            ids = encoding.ids
+            self.known[w] = array("i", ids).tobytes()
+            if "".join(map(self.plain.__getitem__, ids)) != w and self.word.decode(ids, skip_special_tokens=False) != w.replace(MARK, " "):
                 self.lossy.add(w)
         lossy = lambda own: bool(self.lossy) and not self.lossy.isdisjoint(own)
         return [(b"".join(map(self.known.__getitem__, own)), MARK not in t and not lossy(own)) for t, own in zip(texts, words)]
@@ -206,4 +217,4 @@ def encode_texts(docs: DataFrame, model_path: str, text_column: str = "text", co
         }
         return out | ({"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {})
 
-    return map_rows(docs, encode, "n_tokens long, n_bytes long, ids_sha256 string, exact boolean" + (", ids array<int>" if with_ids else ""), columns, most_bytes=1 << 20)
+    return map_rows(docs, encode, "n_tokens long, n_bytes long, ids_sha256 string, exact boolean" + (", ids array<int>" if with_ids else ""), columns, most_bytes=1 << 19)
