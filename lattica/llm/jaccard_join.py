@@ -251,7 +251,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column
     blocks = blocks_for(docs, block_bytes)
     #: Frequencies are counted on leading bits of a shingle's hash, enough to tell shingles apart; they only order them.
     bits = min(56, max(32, size_in_bytes(docs).bit_length() + 4))
-    source = source.withColumn("block", block_of(blocks, "id")).select("block", "id", "text")
+    source = source.withColumn("block", block_of(blocks, "id", "text")).select("block", "id", "text")
     counted = source.groupBy("block").applyInArrow(lambda t: _count_block(t, k, blocks, bits), "shard int, block int, keys binary, counts binary")
     levels = cut(counted.groupBy("shard").applyInArrow(_sum_shard, "block int, shard int, levels binary"))
     del counted
