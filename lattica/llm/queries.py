@@ -18,7 +18,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_trust.judge_pages(table(spark, sf_dir, "pages")).select("row.page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+    return url_trust.judge_pages(table(spark, sf_dir, "pages")).select("row.page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,48 @@ QUERIES = {
 }
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 _ESCAPED = "(length({0}) + length({0}) - length(replace({0}, '\\', '')) + " + " + ".join(f"(length({{0}}) - length(replace({{0}}, '{c}', ''))) // {len(c)}" for c in chat_format.CONTROL) + ")"
+_SPACED = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LOWER_SQL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _rank_sql(name: str, seeds: str, links: str, rounds: int = 15) -> str:
+    """CTEs of a personalised PageRank: ``name`` has (host, score)."""
+    out = [f"{name}s AS (SELECT host, n / sum(n) OVER () AS seed FROM {seeds})", f"{name}e AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS d FROM {links})", f"{name}h AS (SELECT host, sum(seed) AS seed FROM (SELECT host, seed FROM {name}s UNION ALL SELECT dst, 0 FROM {name}e WHERE EXISTS (SELECT 1 FROM {name}s)) GROUP BY 1)", f"{name}0 AS (SELECT host, seed AS score FROM {name}h)"]
+    for i in range(1, rounds + 1):
+        out.append(f"{name}m{i} AS MATERIALIZED (SELECT dst, sum(score / d) AS got FROM {name}e JOIN {name}{i - 1} ON host = src GROUP BY 1)")
+        out.append(f"{name}{i} AS MATERIALIZED (SELECT host, 0.85 * coalesce(got, 0) + (1 - 0.85 * coalesce((SELECT sum(got) FROM {name}m{i}), 0)) * seed AS score FROM {name}h LEFT JOIN {name}m{i} ON dst = host)")
+    return ", ".join([*out, f"{name} AS (SELECT * FROM {name}{rounds})"])
+
+
+_FITS = " ".join(f"WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}') THEN '{r}'" for _, r in sorted(url_trust.RULES, key=lambda x: -len(x[1])))
+_VERDICTS = " ".join(f"WHEN '{r}' THEN '{v}'" for v, r in url_trust.RULES)
+_HREFS = r"""regexp_extract_all(html, '\bhref\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1, 'si')"""
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT a AS id, a AS m FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.m)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce((SELECT min(m) FROM r WHERE r.id = d.doc_id), d.doc_id) AS component_id
+        FROM d LEFT JOIN n USING (doc_id)""",
+    "op2_url_filters": f"""
+        WITH p AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN {_LOWER_SQL.format("regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')")} ELSE '' END AS host,
+                   CASE WHEN contains(url, '://') THEN regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') ELSE '' END AS path FROM pages),
+        f AS (SELECT page_id, host, path, CASE {_FITS} END AS rule FROM p),
+        l AS (SELECT DISTINCT src, dst FROM (SELECT host AS src, {_LOWER_SQL.format("unnest(" + _HREFS + ")")} AS dst FROM p) WHERE src <> '' AND dst <> '' AND src <> dst),
+        k AS (SELECT src AS host FROM l UNION SELECT dst FROM l),
+        v AS (SELECT host, CASE rule {_VERDICTS} END AS verdict, CAST(count(*) AS DOUBLE) AS n FROM f SEMI JOIN k USING (host) WHERE rule IS NOT NULL GROUP BY 1, 2),
+        va AS (SELECT * FROM v WHERE verdict = 'allow'), vb AS (SELECT * FROM v WHERE verdict = 'block'), lb AS (SELECT dst AS src, src AS dst FROM l),
+        {_rank_sql("good", "va", "l")}, {_rank_sql("bad", "vb", "lb")},
+        h AS (SELECT host, coalesce(g.score, 0) AS trust, coalesce(b.score, 0) AS distrust FROM good g FULL JOIN bad b USING (host)),
+        j AS (SELECT f.*, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM f LEFT JOIN h USING (host))
+        SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN CASE rule {_VERDICTS} END
+               WHEN distrust > 0.5 * (trust + distrust) AND distrust > 1 / greatest((SELECT count(*) FROM k), 1) THEN 'block' ELSE 'allow' END AS verdict,
+               CAST(round(trust, 9) AS DOUBLE) AS trust, CAST(round(distrust, 9) AS DOUBLE) AS distrust FROM j""",
     "op9_chat_formatting": f"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
