@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.folds import fold_rows
+
 
 def query_log(events: DataFrame, types: list[str] | None = None, aggregate=None, from_sequence: int | None = None, to_sequence: int | None = None, cursor: int | None = None, limit: int = 50) -> DataFrame:
     """A page of the log in sequence order; bounds are inclusive, the cursor is not."""
@@ -110,14 +112,12 @@ def compare_clocks(a: Column, b: Column) -> Column:
 
 def audit_alerts(entries: DataFrame, keys: list[str], ts: str, window: int, threshold: int) -> DataFrame:
     """Entries at which the count within ``window`` reaches the threshold; an alert resets its key's count."""
-    rows = entries.groupBy(*keys).agg(F.sort_array(F.collect_list(ts)).alias("_t"))
-    start = F.struct(F.array().cast("array<bigint>").alias("open"), F.array().cast("array<bigint>").alias("fired"))
 
-    def step(acc: Column, t: Column) -> Column:
-        now = F.concat(F.filter(acc["open"], lambda x: x > t - window), F.array(t))
-        return F.when(F.size(now) >= threshold, F.struct(F.array().cast("array<bigint>").alias("open"), F.concat(acc["fired"], F.array(t)).alias("fired"))).otherwise(F.struct(now.alias("open"), acc["fired"].alias("fired")))
+    def step(open_, row):
+        now = (*(x for x in open_ if x > row[0] - window), row[0])
+        return ((), ()) if len(now) >= threshold else (now, None)
 
-    return rows.select(*keys, F.explode(F.aggregate("_t", start, step)["fired"]).alias(ts))
+    return fold_rows(entries, keys, [ts], [], (), step)
 
 
 def retained(backups: DataFrame, created: str, now, newest: int, days: int, weeks: int, months: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.folds import fold_rows
+
 
 def counters(events: DataFrame, labels: list[str], value: str) -> DataFrame:
     return events.groupBy(*labels).agg(F.sum(value).alias("value"))
@@ -78,65 +80,49 @@ def fixed_window(requests: DataFrame, key: str, ts: str, width: int, most: int,
     return requests.withColumn("allowed", F.row_number().over(w) <= most)
 
 
-def _fold(requests: DataFrame, key: str, ts: str, ties: list[str], start: Column, step) -> DataFrame:
-    """Sequential decisions as a fold; ``step`` gives (new state, allowed)."""
-    rows = requests.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(ts, *ties))).alias("_r"))
-    kind = rows.schema["_r"].dataType.elementType
-    fields = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in kind.fields)
-    initial = F.struct(start.alias("s"), F.array().cast(f"array<struct<{fields},allowed:boolean>>").alias("out"))
-
-    def go(acc: Column, r: Column) -> Column:
-        state, allowed = step(acc["s"], r[ts])
-        done = F.struct(*[r[f.name].alias(f.name) for f in kind.fields], allowed.alias("allowed"))
-        return F.struct(state.alias("s"), F.concat(acc["out"], F.array(done)).alias("out"))
-
-    return rows.select(key, F.inline(F.aggregate("_r", initial, go)["out"]))
-
-
 def sliding_log(requests: DataFrame, key: str, ts: str, width: int, most: int, ties: list[str]) -> DataFrame:
-    """Allowed while fewer than ``most`` allowed requests lie in (t - width, t]."""
+    """Allowed while fewer than ``most`` allowed requests lie in (t - width, t]; the state is at most ``most`` times."""
 
-    def step(state: Column, t: Column):
-        live = F.filter(state, lambda x: x > t - width)
-        ok = F.size(live) < most
-        return F.when(ok, F.concat(live, F.array(t))).otherwise(live), ok
+    def step(log, row):
+        live = tuple(x for x in log if x > row[0] - width)
+        ok = len(live) < most
+        return ((*live, row[0]) if ok else live), (ok,)
 
-    return _fold(requests, key, ts, ties, F.array().cast("array<bigint>"), step)
+    return fold_rows(requests, [key], [ts, *ties], [], (), step, "allowed boolean")
 
 
 def token_bucket(requests: DataFrame, key: str, ts: str, capacity: float, per_ms: float, ties: list[str], cost: float = 1.0) -> DataFrame:
     """Lazy refill up to the capacity; allowed if the tokens cover the cost."""
-    start = F.struct(F.lit(capacity).alias("tokens"), F.lit(None).cast("bigint").alias("at"))
 
-    def step(s: Column, t: Column):
-        tokens = F.least(F.lit(capacity), s["tokens"] + F.coalesce(t - s["at"], F.lit(0)) * per_ms)
+    def step(state, row):
+        tokens, at = state
+        tokens = min(capacity, tokens + (0 if at is None else row[0] - at) * per_ms)
         ok = tokens >= cost
-        return F.struct((tokens - F.when(ok, cost).otherwise(0.0)).alias("tokens"), t.alias("at")), ok
+        return (tokens - cost * ok, row[0]), (ok,)
 
-    return _fold(requests, key, ts, ties, start, step)
+    return fold_rows(requests, [key], [ts, *ties], [], (capacity, None), step, "allowed boolean")
 
 
 def leaky_bucket(requests: DataFrame, key: str, ts: str, capacity: float, per_ms: float, ties: list[str]) -> DataFrame:
     """The queue drains steadily; allowed if there is room for one more."""
-    start = F.struct(F.lit(0.0).alias("queue"), F.lit(None).cast("bigint").alias("at"))
 
-    def step(s: Column, t: Column):
-        queue = F.greatest(F.lit(0.0), s["queue"] - F.coalesce(t - s["at"], F.lit(0)) * per_ms)
+    def step(state, row):
+        queue, at = state
+        queue = max(0.0, queue - (0 if at is None else row[0] - at) * per_ms)
         ok = queue < capacity
-        return F.struct((queue + F.when(ok, 1.0).otherwise(0.0)).alias("queue"), t.alias("at")), ok
+        return (queue + ok, row[0]), (ok,)
 
-    return _fold(requests, key, ts, ties, start, step)
+    return fold_rows(requests, [key], [ts, *ties], [], (0.0, None), step, "allowed boolean")
 
 
 def sliding_counter(requests: DataFrame, key: str, ts: str, width: int, most: float, ties: list[str]) -> DataFrame:
     """Rejected if the weighted count of allowed requests of the window before and of this one reaches ``most``."""
-    start = F.struct(F.lit(-2).cast("bigint").alias("w"), F.lit(0.0).alias("before"), F.lit(0.0).alias("now"))
 
-    def step(s: Column, t: Column):
-        w = F.floor(t / width).cast("bigint")
-        before = F.when(w == s["w"], s["before"]).when(w == s["w"] + 1, s["now"]).otherwise(0.0)
-        now = F.when(w == s["w"], s["now"]).otherwise(0.0)
-        ok = before * (1 - F.pmod(t, F.lit(width)) / width) + now < most
-        return F.struct(w.alias("w"), before.alias("before"), (now + F.when(ok, 1.0).otherwise(0.0)).alias("now")), ok
+    def step(state, row):
+        window, before, now = state
+        w = row[0] // width
+        before, now = (before, now) if w == window else (now, 0) if w == window + 1 else (0, 0)
+        ok = before * (1 - row[0] % width / width) + now < most
+        return (w, before, now + ok), (ok,)
 
-    return _fold(requests, key, ts, ties, start, step)
+    return fold_rows(requests, [key], [ts, *ties], [], (-2, 0, 0), step, "allowed boolean")

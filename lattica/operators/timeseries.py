@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.folds import fold_rows
+
 AGGREGATES = {
     "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count,
     "p50": lambda c: F.percentile(c, 0.5), "p95": lambda c: F.percentile(c, 0.95), "p99": lambda c: F.percentile(c, 0.99),
@@ -52,17 +54,13 @@ def weighted_average(df: DataFrame, weights: list[float], keys: list[str], order
 
 
 def exponential_average(df: DataFrame, alpha: float, keys: list[str], order: list[str], value: str = "value") -> DataFrame:
-    """e0 = x0, e = alpha x + (1 - alpha) e, as a fold over each series in order."""
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("_x")))).alias("_r"))
-    kind = rows.schema["_r"].dataType.elementType
-    out = ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in kind.fields if f.name != "_x")
+    """e0 = x0, e = alpha x + (1 - alpha) e, walked in order."""
 
-    def step(acc: Column, x: Column) -> Column:
-        e = F.when(F.size(acc["out"]) == 0, x["_x"]).otherwise(alpha * x["_x"] + (1 - alpha) * acc["e"])
-        return F.struct(e.alias("e"), F.concat(acc["out"], F.array(F.struct(*[x[o].alias(o) for o in order], e.alias("ema")))).alias("out"))
+    def step(e, row):
+        e = row[-1] if e is None else alpha * row[-1] + (1 - alpha) * e
+        return e, (e,)
 
-    folded = F.aggregate("_r", F.struct(F.lit(0.0).alias("e"), F.array().cast(f"array<struct<{out},ema:double>>").alias("out")), step)
-    return rows.select(*keys, F.inline(folded["out"]))
+    return fold_rows(df, keys, order, [value], None, step, "ema double")
 
 
 def rate(df: DataFrame, window: int, unit: int, keys: list[str], ts: str = "ms", value: str = "value") -> DataFrame:

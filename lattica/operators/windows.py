@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.folds import fold_rows
+
 
 def _span(df: DataFrame, ts: str, keys: list[str]) -> DataFrame:
     """First and last timestamp of each key (partial minima), joined back without a global window."""
@@ -71,11 +73,10 @@ def debounce(df: DataFrame, ts: str, gap: int, keys: list[str], ties: list[str])
 
 
 def dedupe_events(df: DataFrame, ts: str, gap: int, keys: list[str], ties: list[str]) -> DataFrame:
-    """Drops a row less than ``gap`` behind the last *kept* row of its key: a fold over each key's ordered times."""
-    row = F.struct(F.col(ts).alias("t"), *ties)
-    lists = df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    kept = F.aggregate(
-        "_rows", F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{lists.schema['_rows'].dataType.elementType.simpleString()}>").alias("keep")),
-        lambda acc, x: F.when(acc["last"].isNull() | (x["t"] - acc["last"] >= gap), F.struct(x["t"].alias("last"), F.concat(acc["keep"], F.array(x)).alias("keep"))).otherwise(acc),
-    )
-    return lists.select(*keys, F.inline(kept["keep"])).withColumnRenamed("t", ts)
+    """Drops a row less than ``gap`` behind the last *kept* row of its key: sequential state, streamed."""
+
+    def step(last, row):
+        keep = last is None or row[0] - last >= gap
+        return (row[0], ()) if keep else (last, None)
+
+    return fold_rows(df, keys, [ts, *ties], [], None, step)

@@ -32,14 +32,15 @@ def cut(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let the driver drop plans that nothing refers to, so that Spark's cleaner frees their shuffle files.
 
-    Called between the large steps of a query. Listeners need a moment to let go of a finished plan, and what
-    has a finaliser goes with the second collection only.
+    Called between the large steps of a query. Listeners need a moment to let go of a finished plan, what has a
+    finaliser goes with the second collection only, and executors delete their files one after the other; the
+    few seconds are fixed, while the files grow with the input.
     """
     for _ in range(3):
-        time.sleep(0.3)
+        time.sleep(0.4)
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-    time.sleep(0.3)
+    time.sleep(2.5)
 
 
 def size_in_bytes(df: DataFrame) -> int:
