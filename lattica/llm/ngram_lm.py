@@ -284,13 +284,13 @@ def _score_block(left: pa.Table, right: pa.Table, order: int, bits: int, tokens:
     return pa.table({"id": left.column("id"), "train": left.column("train"), "n_tokens": pa.array(grams.counts, pa.int64()), "n_known": pa.array(add((known[ids] > 0).astype(np.int64)), pa.int64()), "base_score": pa.array(add(base), pa.float64()), "score": pa.array(add(scores), pa.float64())})
 
 
-def score_texts(docs: DataFrame, held_out, id_column: str = "doc_id", text_column: str = "text", order: int = 3, weight: float = 2.0, block_bytes: int = 3 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, id_column: str = "doc_id", text_column: str = "text", order: int = 3, weight: float = 2.0, block_bytes: int = 4 << 20) -> DataFrame:
     """A row per document: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
 
     ``held_out`` is a column; what it marks is scored but not learned from. ``weight`` is the smoothing mu.
     """
     blocks = blocks_for(docs, block_bytes)
-    bits = min(60, size_in_bytes(docs).bit_length() + 17)
+    bits = min(60, size_in_bytes(docs).bit_length() + 14)
     source = docs.select(block_of(blocks, id_column, text_column).alias("block"), F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), (~held_out).alias("train"))
     counted = source.groupBy("block").applyInArrow(lambda t: _count_block(t, order, blocks, bits), "shard int, block int, keys array<binary>, counts array<binary>")
     answers = cut(counted.groupBy("shard").applyInArrow(lambda t: _sum_shard(t, order), "block int, shard int, counts array<binary>, tokens long, types long"))
