@@ -290,7 +290,7 @@ def score_texts(docs: DataFrame, held_out, id_column: str = "doc_id", text_colum
     ``held_out`` is a column; what it marks is scored but not learned from. ``weight`` is the smoothing mu.
     """
     blocks = blocks_for(docs, block_bytes)
-    bits = min(60, size_in_bytes(docs).bit_length() + 14)
+    bits = min(60, max(44, size_in_bytes(docs).bit_length() + 14))
     source = docs.select(block_of(blocks, id_column, text_column).alias("block"), F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), (~held_out).alias("train"))
     counted = source.groupBy("block").applyInArrow(lambda t: _count_block(t, order, blocks, bits), "shard int, block int, keys array<binary>, counts array<binary>")
     answers = cut(counted.groupBy("shard").applyInArrow(lambda t: _sum_shard(t, order), "block int, shard int, counts array<binary>, tokens long, types long"))
