@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -251,8 +253,6 @@ def expression(source: str, scope: dict[str, Column]) -> Column:
 
     ``==`` compares as strings, so that 1 equals "1"; division by zero gives null.
     """
-    import re
-
     tokens = re.findall(r"\s*(\$(?:\.[A-Za-z_]\w*|\[\d+\])*|[A-Za-z_]\w*|\d+(?:\.\d+)?|'[^']*'|\"[^\"]*\"|==|!=|>=|<=|&&|\|\||[-+*/()<>!,])", source)
     if "".join(tokens) != re.sub(r"\s+(?=(?:[^'\"]|'[^']*'|\"[^\"]*\")*$)", "", source):
         raise ValueError(f"cannot read {source!r}")
@@ -320,7 +320,5 @@ def expression(source: str, scope: dict[str, Column]) -> Column:
 
 def interpolate(template: str, scope: dict[str, Column]) -> Column:
     """``{{expression}}`` parts as strings; nulls are empty."""
-    import re
-
     parts = re.split(r"\{\{(.*?)\}\}", template)
     return F.concat(*[F.lit(p) if i % 2 == 0 else F.coalesce(expression(p.strip(), scope).cast("string"), F.lit("")) for i, p in enumerate(parts)])

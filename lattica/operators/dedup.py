@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.graph_algorithms import weak_components
 from lattica.operators.sets import first_by
 
 
@@ -44,8 +46,6 @@ def similar_titles(df: DataFrame, id_column: str, title: str, threshold: float =
 def fuzzy(df: DataFrame, id_column: str, title: str, threshold: float = 0.85) -> DataFrame:
     """(id, kept): greedy in order of id, a record joins the first kept one that is similar enough."""
     pairs = similar_titles(df, id_column, title, threshold)
-    from lattica.operators.graph_algorithms import weak_components
-
     links = pairs.select(F.col("a").alias("source"), F.col("b").alias("target"))
     groups = weak_components(links)
     near = pairs.groupBy(F.col("b").alias("id")).agg(F.sort_array(F.collect_list("a")).alias("before"))
@@ -59,8 +59,6 @@ def fuzzy(df: DataFrame, id_column: str, title: str, threshold: float = 0.85) ->
             if home == i:
                 kept.add(i)
             out.append((i, home))
-        import pandas as pd
-
         return pd.DataFrame(out, columns=["id", "kept"])
 
     decided = rows.groupBy("component").applyInPandas(walk, "id long, kept long")

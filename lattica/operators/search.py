@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,7 +78,5 @@ def hybrid(docs: DataFrame, vectors: DataFrame, query: list[str], vector: list[f
 
 def wildcard(words: DataFrame, column: str, pattern: str) -> DataFrame:
     """Distinct words that match ? (one character) and * (any run)."""
-    import re
-
     rx = "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "$"
     return words.where(F.col(column).rlike(rx)).select(column).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,8 +68,6 @@ def column_types(df: DataFrame, sample: int = 20) -> DataFrame:
     tests = [("id", r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$", 0.8), ("boolean", r"(?i)^(?:true|false|yes|no|0|1)$", 0.8), ("number", r"^-?[0-9]+(?:\.[0-9]+)?$", 0.8), ("date", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}", 0.7)]
     parts = None
     for c in df.columns:
-        import re
-
         named = next((k for k, rx in rules.items() if re.search(rx, c)), None)
         v = F.col("v")
         rows = df.select(F.col(f"`{c}`").cast("string").alias("v")).where("v <> ''").limit(sample)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -90,8 +91,6 @@ def firing_alerts(stream: DataFrame, key: str, ts_ms: str, value: str, threshold
 
 def subscribe(stream: DataFrame, pattern: str, handler: Callable[[DataFrame, int], None], type_column: str = "type"):
     """Deliver micro-batches of events whose type matches (``*`` is any run) to a handler."""
-    import re
-
     rx = "^" + ".*".join(re.escape(p) for p in pattern.split("*")) + "$"
     return stream.where(F.col(type_column).rlike(rx)).writeStream.foreachBatch(handler)
 

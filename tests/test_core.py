@@ -143,7 +143,7 @@ def test_csv_round_trip(spark, tmp_path):
     df = R.read_csv(spark, path)
     assert rows(df) == [("1", "x;\ny", "3"), ("2", 'q"r', "")]
     assert [r[0] for r in K.csv_lines(df.where("a = '2'")).collect()] == ['2,"q""r",']
-    assert rows(R.chunks and spark.createDataFrame([("aa\n\nbb\n\ncccccccc",)], "t string").select(F.explode(R.chunks("t", 6)))) == [("aa\n\nbb",), ("cccccccc",)]
+    assert rows(spark.createDataFrame([("aa\n\nbb\n\ncccccccc",)], "t string").select(F.explode(R.chunks("t", 6)))) == [("aa\n\nbb",), ("cccccccc",)]
 
 
 def test_upsert_policies(spark):
