@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,7 +39,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def map_rows(df: DataFrame, function: Callable[[pa.StructArray], dict], ddl: str, columns: list[str] | None = None, most_bytes: int = 8 << 20) -> DataFrame:
+def map_rows(df: DataFrame, function: Callable[[pa.StructArray], dict], ddl: str, columns: list[str] | None = None, most_bytes: int = 4 << 20) -> DataFrame:
     """``row`` (a struct of ``columns``, all by default) beside what ``function`` makes of whole rows.
 
     The function gets struct arrays of at most about ``most_bytes`` (a longer row alone) and returns columns
@@ -55,11 +56,21 @@ def map_rows(df: DataFrame, function: Callable[[pa.StructArray], dict], ddl: str
                 made = function(piece.column(0))
                 yield pa.RecordBatch.from_arrays([piece.column(0), *made.values()], ["row", *made])
             del batch, piece, made
-            pa.default_memory_pool().release_unused()
+            trimmed(None)
 
     return source.mapInArrow(run, T.StructType([source.schema["row"], *T.StructType.fromDDL(ddl).fields]))
 
 
+def trimmed(result):
+    """Pass a result on after giving freed memory back to the system, as workers are reused for other operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+    return result
+
+
 def field(rows: pa.StructArray, name: str) -> pa.Array:
     """One column of the rows that ``map_rows`` hands over."""
     return pc.struct_field(rows, name)

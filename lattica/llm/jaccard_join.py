@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import block_of, connected_components
+from lattica.llm.common import block_of, connected_components, trimmed
 from lattica.llm.textkit import mix, pack_counts, pack_sorted, row_chunks, shingle_hashes, squeeze, text_buffers, unpack_counts, unpack_sorted, unsqueeze, word_hashes, word_spans
 from lattica.session import blocks_for, cut, release, size_in_bytes
 
@@ -240,7 +240,7 @@ def _peel(members: DataFrame, percent: int, most: int) -> tuple[DataFrame, list[
         members = cut(kept.select("component", "node", "n", "shingles"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = 6 << 20, region_shingles: int = 4_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = 4 << 20, region_shingles: int = 4_000_000) -> DataFrame:
     """``(id, n_shingles, component_id)`` per row of ``docs``.
 
     Rows link when 100 * common >= ``percent`` * united shingles of ``k`` words, A-Z lower-cased.
@@ -252,11 +252,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column
     #: Frequencies are counted on leading bits of a shingle's hash, enough to tell shingles apart; they only order them.
     bits = min(56, max(32, size_in_bytes(docs).bit_length() + 4))
     source = source.withColumn("block", block_of(blocks, "id", "text")).select("block", "id", "text")
-    counted = source.groupBy("block").applyInArrow(lambda t: _count_block(t, k, blocks, bits), "shard int, block int, keys binary, counts binary")
-    levels = cut(counted.groupBy("shard").applyInArrow(_sum_shard, "block int, shard int, levels binary"))
+    counted = source.groupBy("block").applyInArrow(lambda t: trimmed(_count_block(t, k, blocks, bits)), "shard int, block int, keys binary, counts binary")
+    levels = cut(counted.groupBy("shard").applyInArrow(lambda t: trimmed(_sum_shard(t)), "block int, shard int, levels binary"))
     del counted
     release(docs.sparkSession)
-    rows = cut(source.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(lambda t, levels: _windows(t, levels, k, percent, bits), "id long, n long, node long, keys array<long>, shingles binary"))
+    rows = cut(source.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(lambda t, levels: trimmed(_windows(t, levels, k, percent, bits)), "id long, n long, node long, keys array<long>, shingles binary"))
 
     release(docs.sparkSession)
     anchors = rows.where("keys is not null").select("node", F.explode("keys").alias("key")).distinct()
@@ -267,7 +267,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column
     links: list[DataFrame] = []
     if weights.where(F.col("s") > region_shingles).limit(1).count():
         members, links = _peel(cut(members.dropDuplicates(["node"])), percent, region_shingles)
-    linked = members.groupBy("component").applyInArrow(lambda t: _join_region(t, percent), "a long, b long")
+    linked = members.groupBy("component").applyInArrow(lambda t: trimmed(_join_region(t, percent)), "a long, b long")
     if links:
         for more in links:
             linked = linked.union(more)

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import block_of
-from lattica.llm.textkit import mix, pack_counts, pack_sorted, text_buffers, unpack_counts, unpack_sorted, word_hashes, word_spans
+from lattica.llm.common import block_of, trimmed
+from lattica.llm.textkit import mix, pack_counts, pack_sorted, row_chunks, text_buffers, unpack_counts, unpack_sorted, word_hashes, word_spans
 from lattica.session import blocks_for, cut, release, size_in_bytes
 
 _U = np.uint64
@@ -179,15 +179,19 @@ class Grams:
 
     def __init__(self, column: pa.ChunkedArray, order: int, bits: int):
         data, offsets = text_buffers(column)
-        starts, ends, first = word_spans(data, offsets)
-        rows = len(offsets) - 1
-        self.counts = np.diff(first) + 1
+        rows, hashes, counts = len(offsets) - 1, [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+        for lo, hi in row_chunks(offsets):
+            part = data[offsets[lo] : offsets[hi]]
+            starts, ends, first = word_spans(part, offsets[lo : hi + 1] - offsets[lo])
+            hashes.append(word_hashes(part, starts, ends))
+            counts.append(np.diff(first))
+        self.counts = np.concatenate(counts) + 1
         self.begins = np.concatenate([[0], np.cumsum(self.counts)])
         self.tokens = np.empty(self.begins[-1], _U)
         last = self.begins[1:] - 1
         inner = np.ones(self.begins[-1], bool)
         inner[last] = False
-        self.tokens[inner], self.tokens[last] = word_hashes(data, starts, ends), END
+        self.tokens[inner], self.tokens[last] = np.concatenate(hashes), END
         place = np.arange(self.begins[-1]) - np.repeat(self.begins[:-1], self.counts)
         self.rows = rows
         #: For each order: the keys of tokens that have one; tokens with a long enough context.
@@ -292,12 +296,12 @@ def score_texts(docs: DataFrame, held_out, id_column: str = "doc_id", text_colum
     blocks = blocks_for(docs, block_bytes)
     bits = min(60, max(44, size_in_bytes(docs).bit_length() + 14))
     source = docs.select(block_of(blocks, id_column, text_column).alias("block"), F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), (~held_out).alias("train"))
-    counted = source.groupBy("block").applyInArrow(lambda t: _count_block(t, order, blocks, bits), "shard int, block int, keys array<binary>, counts array<binary>")
-    answers = cut(counted.groupBy("shard").applyInArrow(lambda t: _sum_shard(t, order), "block int, shard int, counts array<binary>, tokens long, types long"))
+    counted = source.groupBy("block").applyInArrow(lambda t: trimmed(_count_block(t, order, blocks, bits)), "shard int, block int, keys array<binary>, counts array<binary>")
+    answers = cut(counted.groupBy("shard").applyInArrow(lambda t: trimmed(_sum_shard(t, order)), "block int, shard int, counts array<binary>, tokens long, types long"))
     del counted
     release(docs.sparkSession)
     totals = answers.where("block < 0").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
     tokens, types = totals["n"] or 0, totals["v"] or 0
     asked = answers.where("block >= 0").select("block", "shard", "counts")
-    scored = source.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(lambda t, a: _score_block(t, a, order, bits, tokens, types, weight), "id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = source.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(lambda t, a: trimmed(_score_block(t, a, order, bits, tokens, types, weight)), "id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("id").alias(id_column), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
