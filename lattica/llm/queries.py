@@ -18,7 +18,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_trust.judge_pages(table(spark, sf_dir, "pages")).select("row.page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
+    return url_trust.judge_pages(table(spark, sf_dir, "pages"), linked_only=True).select("row.page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
