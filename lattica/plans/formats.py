@@ -33,7 +33,7 @@ QUERIES = {
     "html_main_text": (lambda s, d: T(s, d, "pages").select("page_id", F.md5(R.html_main("html")).alias("h")), f"WITH p AS (SELECT page_id, {_SCR} AS h FROM pages), t AS (SELECT page_id, trim(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'gs'), '\\s+', ' ', 'g')) AS w, trim(regexp_replace(regexp_replace(regexp_extract(h, '<article[^>]*>(.*?)</article>', 1, 'si'), '<[^>]+>', ' ', 'gs'), '\\s+', ' ', 'g')) AS a, trim(regexp_replace(regexp_replace(regexp_extract(h, '<main[^>]*>(.*?)</main>', 1, 'si'), '<[^>]+>', ' ', 'gs'), '\\s+', ' ', 'g')) AS m FROM p) SELECT page_id, md5(CASE WHEN length(m) > 100 THEN m WHEN length(a) > 100 THEN a ELSE w END) AS h FROM t"),
     "markdown_parts": (lambda s, d: _notes(s, d).select("n_nationkey", R.md_title("text").alias("title"), F.array_join(R.md_wikilinks("text"), ",").alias("links"), F.array_join(R.md_tags("text"), ",").alias("tags"), F.size(R.md_code_blocks("text")).cast("long").alias("code")), "SELECT n_nationkey, n_name AS title, 'Note ' || (n_nationkey * 7 % 25) || ',' || lower(n_name) AS links, 'b,tag' || n_regionkey AS tags, 1::BIGINT AS code FROM nation"),
     "markdown_vault": (lambda s, d: R.vault_edges(_notes(s, d), "name", "text"), "SELECT 'Note ' || n_nationkey AS source, 'Note ' || (n_nationkey * 7 % 25) AS target FROM nation UNION SELECT 'Note ' || n_nationkey, 'Note ' || n_nationkey FROM nation"),
-    "document_chunks": (lambda s, d: T(s, d, "documents").where("n_chars < 3000").select("doc_id", F.posexplode(R.chunks(F.regexp_replace("text", "\n", "\n\n"), 500)).alias("i", "chunk")).select("doc_id", F.col("i").cast("long").alias("i"), F.length("chunk").cast("long").alias("n")), None),
+    "document_chunks": (lambda s, d: T(s, d, "documents").select("doc_id", F.posexplode(R.chunks(F.regexp_replace("text", "\n", "\n\n"), 500)).alias("i", "chunk")).select("doc_id", F.col("i").cast("long").alias("i"), F.length("chunk").cast("long").alias("n")), None),
     "csv_edges": (lambda s, d: R.csv_graph(T(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("a"), F.col("n_regionkey").cast("string").alias("b"), F.when(F.col("n_regionkey") == 1, "cites").otherwise("odd").alias("t"), F.when(F.col("n_nationkey") % 2 == 0, "x").otherwise(F.col("n_nationkey").cast("string")).alias("w")), "a", "b", "t", "w", ("cites", "related_to")), "SELECT CAST(n_nationkey AS VARCHAR) AS source, CAST(n_regionkey AS VARCHAR) AS target, CASE WHEN n_regionkey = 1 THEN 'cites' ELSE 'related_to' END AS type, 1.0::DOUBLE AS weight FROM nation"),
     "json_fields": (lambda s, d: R.json_nodes(T(s, d, "events"), "props").groupBy("path", "kind").agg(F.count("*").alias("n")), "SELECT path, 'value' AS kind, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS path FROM events) GROUP BY 1"),
     "export_csv": (lambda s, d: K.csv_lines(T(s, d, "nation").select("n_nationkey", F.concat(F.lit('a,"'), "n_name").alias("x"))), "SELECT n_nationkey || ',\"a,\"\"' || n_name || '\"' AS line FROM nation"),
@@ -47,7 +47,7 @@ QUERIES = {
     "dedup_title": (lambda s, d: D.by_title(_titles(s, d), "title", ["p_partkey"], "content").select("p_partkey", "copies", F.length("content").cast("long").alias("n")), f"SELECT min(p_partkey) AS p_partkey, count(*) AS copies, max(length(p_type) * (1 + p_size % 3)) AS n FROM part GROUP BY {_TK}"),
     "dedup_content": (lambda s, d: D.by_content(_titles(s, d), ["title", "content"], ["p_partkey"]).select("p_partkey"), f"SELECT min(p_partkey) AS p_partkey FROM part GROUP BY {_TK}, lower(p_type), p_size % 3"),
     "dedup_similar": (lambda s, d: D.similar_titles(_titles(s, d).where("p_partkey < 200"), "p_partkey", "title"), f"WITH t AS (SELECT p_partkey AS id, {_TK} AS k FROM part WHERE p_partkey < 200) SELECT x.id AS a, y.id AS b FROM t x JOIN t y ON x.id < y.id AND 1 - levenshtein(x.k, y.k) / greatest(length(x.k), length(y.k)) >= 0.85"),
-    "dedup_fuzzy": (lambda s, d: D.fuzzy(_titles(s, d).where("p_partkey < 200"), "p_partkey", "title"), None),
+    "dedup_fuzzy": (lambda s, d: D.fuzzy(_titles(s, d), "p_partkey", "title"), None),
     "import_pipeline": (lambda s, d: D.import_rows(_titles(s, d).withColumn("title", F.when(F.col("p_partkey") % 10 != 0, F.col("title"))), "title", "content", ["p_partkey"])[0].select("p_partkey"), f"SELECT min(p_partkey) AS p_partkey FROM part WHERE p_partkey % 10 <> 0 GROUP BY {_TK}"),
     "import_quarantine": (lambda s, d: D.import_rows(_titles(s, d).withColumn("title", F.when(F.col("p_partkey") % 10 != 0, F.col("title"))), "title", "content", ["p_partkey"])[1].select("p_partkey", "reason"), "SELECT p_partkey, 'no title' AS reason FROM part WHERE p_partkey % 10 = 0"),
 }
