@@ -2,9 +2,9 @@
 
 Templates are short public notices. Each template's word n-grams are winnowed to the smallest hash of every
 window; an inverted index leads from a fingerprint to templates and places. A text is scanned whole; where it
-has fingerprints of a template on neighbouring diagonals, a banded alignment of the words around gives the
-matched share of the template and the span. Null and empty texts have no licenses; overlapping matches of
-one template are reported once, ties by template name; repeated rows are scanned alike.
+has fingerprints of a template, banded alignments of the words around each of their diagonals and each chain of
+neighbouring ones give the matched share of the template and the span. Null and empty texts have no licenses; of
+overlapping matches of one template the best is reported, ties by template name; repeated rows are scanned alike.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from lattica.llm.textkit import code_points_before, row_chunks, shingle_hashes,
 #: Separators: ASCII other than digits and letters.
 SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
+_BITS = 24
+_PLACE = (1 << _BITS) - 1  # words that the text of a band may have
 #: Notices by SPDX name (fixed values, public texts).
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -74,22 +76,44 @@ class Index:
         return found
 
 
-def align(text: np.ndarray, template: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
-    """Most template words matched in order near a diagonal, and the first and last text word matched."""
-    best: dict[int, tuple[int, int, int]] = {}
+def align(text: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
+    """Most template words matched in order on diagonals ``low`` to ``high``, and the first and last text word matched.
+
+    Of equal matches the one that starts last and then ends first. A cell of the table is one number of score,
+    start + 1 and ``_PLACE`` - end, so that its order is this order.
+    """
+    first = max(low, 0)  # places are counted from here
+    near = text[first : max(high + len(template), first)]
+    if len(near) >= _PLACE or len(template) >> 63 - 2 * _BITS:
+        raise ValueError("a band of 2^24 words of text or a template of 2^15 words")
+    best = np.zeros(high - low + 1, np.int64)
+    offsets = np.arange(low - first, high - first + 1)
     for j in range(len(template)):
-        new: dict[int, tuple[int, int, int]] = {}
-        for off in range(-band, band + 1):
-            i = j + diagonal + off
-            ways = [w for w in (best.get(off), best.get(off + 1), new.get(off - 1)) if w]
-            top = max(ways, key=lambda w: (w[0], w[1])) if ways else (0, -1, -1)
-            if 0 <= i < len(text) and text[i] == template[j]:
-                before = best.get(off, (0, -1, -1))
-                hit = (before[0] + 1, before[1] if before[0] else i, i)
-                top = max(top, hit, key=lambda w: (w[0], w[1]))
-            new[off] = top
-        best = new
-    return max(best.values(), key=lambda w: (w[0], w[1]))
+        new = best.copy()
+        new[:-1] = np.maximum(new[:-1], best[1:])
+        at = offsets + j
+        hits = np.flatnonzero((at >= 0) & (at < len(near)))
+        hits = hits[near[at[hits]] == template[j]]
+        if len(hits):
+            i, old = at[hits], best[hits]
+            start = np.where(old > 0, (old >> _BITS) & _PLACE, i + 1)
+            new[hits] = np.maximum(new[hits], ((old >> 2 * _BITS) + 1 << 2 * _BITS) | (start << _BITS) | (_PLACE - i))
+        best = np.maximum.accumulate(new)
+    top = int(best[-1])
+    if not top:
+        return 0, -1, -1
+    return top >> 2 * _BITS, first + (top >> _BITS & _PLACE) - 1, first + _PLACE - (top & _PLACE)
+
+
+def bands(diagonals: list[int], band: int) -> list[tuple[int, int]]:
+    """The margin around each diagonal, and around each chain of diagonals at most ``band`` apart."""
+    out = {(d - band, d + band) for d in diagonals}
+    begin = 0
+    for k in range(1, len(diagonals) + 1):
+        if k == len(diagonals) or diagonals[k] - diagonals[k - 1] > band:
+            out.add((diagonals[begin] - band, diagonals[k - 1] + band))
+            begin = k
+    return sorted(out)
 
 
 def licenses_of(text: str, index: Index, least: float, band: int) -> list[dict]:
@@ -97,15 +121,24 @@ def licenses_of(text: str, index: Index, least: float, band: int) -> list[dict]:
     grams, _ = shingle_hashes(hashes, np.array([0, len(hashes)]), index.gram)
     out = []
     for t, pairs in sorted(index.candidates(grams).items()):
-        template, last = index.words[t], None
-        for diagonal in sorted({i - j for i, j in pairs}):
-            if last is not None and diagonal - last <= band:
-                continue
-            last = diagonal
-            score, a, b = align(hashes, template, diagonal, band)
+        template = index.words[t]
+        words, need = np.unique(template, return_counts=True)
+        where = np.searchsorted(words, hashes)
+        where = np.where(words[np.minimum(where, len(words) - 1)] == hashes, where, len(words))
+        found = []
+        for low, high in bands(sorted({i - j for i, j in pairs}), band):
+            near = np.bincount(where[max(low, 0) : max(high + len(template), 0)], minlength=len(words) + 1)[:-1]
+            if np.minimum(near, need).sum() < least * len(template):
+                continue  # no order of these words matches enough
+            score, a, b = align(hashes, template, low, high)
             if score >= least * len(template):
+                found.append((-score, b - a, a, b))
+        kept: list[tuple[int, int]] = []
+        for score, _, a, b in sorted(set(found)):
+            if all(b < x or y < a for x, y in kept):
+                kept.append((a, b))
                 span = code_points_before(data, np.array([starts[a], ends[b]]))
-                out.append({"license": index.names[t], "coverage": score / len(template), "start": int(span[0]), "end": int(span[1])})
+                out.append({"license": index.names[t], "coverage": -score / len(template), "start": int(span[0]), "end": int(span[1])})
     return sorted(out, key=lambda x: (x["start"], x["license"]))
 
 
