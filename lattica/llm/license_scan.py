@@ -1,14 +1,17 @@
 """License scans: winnowed template fingerprints pick candidates, banded alignment measures them.
 
-Templates are short public notices. Each template's word n-grams are winnowed to the smallest hash of every
+Templates are public notices and whole licenses. Each template's word n-grams are winnowed to the smallest hash of every
 window; an inverted index leads from a fingerprint to templates and places. A text is scanned whole; where it
 has fingerprints of a template, banded alignments of the words around each of their diagonals and each chain of
 neighbouring ones give the matched share of the template and the span. Null and empty texts have no licenses; of
-overlapping matches of one template the best is reported, ties by template name; repeated rows are scanned alike.
+overlapping matches of one template, and of matches of several over nearly the same words, the best is reported,
+ties by template name; repeated rows are scanned alike.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,9 +33,33 @@ TEMPLATES = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
+    "GPL-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "EPL-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+    "CC-BY-4.0": "Licensed under CC BY 4.0",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
+    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC-BY-NC-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-NC-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "CC-BY-ND-4.0-notice": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
 }
 
+#: Whole licenses, by SPDX name.
+TEMPLATES |= {f"{p.stem}-body": p.read_text() for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+
 
 def words_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, hashes, starts and ends of a text's words."""
@@ -105,6 +132,15 @@ def align(text: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[
     return top >> 2 * _BITS, first + (top >> _BITS & _PLACE) - 1, first + _PLACE - (top & _PLACE)
 
 
+def reach(text: np.ndarray, template: np.ndarray, low: int, high: int) -> int:
+    """The template words that the text has anywhere in a band: no alignment there matches more."""
+    seen = np.zeros(len(template), bool)
+    for d in range(max(low, 1 - len(template)), min(high, len(text) - 1) + 1):
+        a, b = max(0, -d), min(len(template), len(text) - d)
+        seen[a:b] |= text[a + d : b + d] == template[a:b]
+    return int(seen.sum())
+
+
 def bands(diagonals: list[int], band: int) -> list[tuple[int, int]]:
     """The margin around each diagonal, and around each chain of diagonals at most ``band`` apart."""
     out = {(d - band, d + band) for d in diagonals}
@@ -124,11 +160,14 @@ def licenses_of(text: str, index: Index, least: float, band: int) -> list[dict]:
         template = index.words[t]
         words, need = np.unique(template, return_counts=True)
         where = np.searchsorted(words, hashes)
+        places = np.searchsorted(words, template)
         where = np.where(words[np.minimum(where, len(words) - 1)] == hashes, where, len(words))
+        if np.minimum(np.bincount(where, minlength=len(words) + 1)[:-1], need).sum() < least * len(template):
+            continue
         found = []
         for low, high in bands(sorted({i - j for i, j in pairs}), band):
             near = np.bincount(where[max(low, 0) : max(high + len(template), 0)], minlength=len(words) + 1)[:-1]
-            if np.minimum(near, need).sum() < least * len(template):
+            if np.minimum(near, need).sum() < least * len(template) or reach(where, places, low, high) < least * len(template):
                 continue  # no order of these words matches enough
             score, a, b = align(hashes, template, low, high)
             if score >= least * len(template):
@@ -137,9 +176,13 @@ def licenses_of(text: str, index: Index, least: float, band: int) -> list[dict]:
         for score, _, a, b in sorted(set(found)):
             if all(b < x or y < a for x, y in kept):
                 kept.append((a, b))
-                span = code_points_before(data, np.array([starts[a], ends[b]]))
-                out.append({"license": index.names[t], "coverage": -score / len(template), "start": int(span[0]), "end": int(span[1])})
-    return sorted(out, key=lambda x: (x["start"], x["license"]))
+                out.append((score, index.names[t], a, b, -score / len(template)))
+    named: list[tuple] = []
+    for _, name, a, b, coverage in sorted(out, key=lambda x: (x[0], -x[4], *x[1:4])):  # CC BY lies within CC BY-NC: the most matched words name a place
+        if all(min(b, y) - max(a, x) + 1 < least * (max(b - a, y - x) + 1) for _, x, y, _ in named):
+            named.append((name, a, b, coverage))
+    spans = [code_points_before(data, np.array([starts[a], ends[b]])) for _, a, b, _ in named]
+    return sorted(({"license": n[0], "coverage": n[3], "start": int(x[0]), "end": int(x[1])} for n, x in zip(named, spans)), key=lambda x: (x["start"], x["license"]))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, band: int = 4, text_column: str = "text", columns: list[str] | None = None) -> DataFrame:
