@@ -65,15 +65,23 @@ def bare(word: bytes) -> bytes:
     return word.strip(_TRIM).lower()
 
 
+def core_of(word: bytes) -> bytes:
+    core = word.strip(_TRIM)
+    return core.rpartition(b"=")[2] or core
+
+
+def distinct(core: bytes) -> int:
+    return min(len(set(core)) // 3, 8)
+
+
 def own_features(word: bytes, lexicon: frozenset) -> list[str]:
     """Features of a token by itself."""
-    core = word.strip(_TRIM)
-    core = core.rpartition(b"=")[2] or core
+    core = core_of(word)
     digits = sum(b in _DIGITS for b in core)
     kinds = len({_SHAPE[b] for b in core if _SHAPE[b] in b"aA0"})
     shape = re.sub(rb"(.)\1+", rb"\1", core.translate(_SHAPE))[:6].decode(errors="replace")
     turns = sum(_SHAPE[a] != _SHAPE[b] for a, b in zip(core, core[1:]))
-    out = [f"len{min(len(core) // 4, 10)}", f"shape{shape}", f"digits{min(4, 5 * digits // max(len(core), 1))}", f"kinds{kinds}", f"turns{min(turns // 2, 6)}", f"distinct{min(len(set(core)) // 3, 8)}"]
+    out = [f"len{min(len(core) // 4, 10)}", f"shape{shape}", f"digits{min(4, 5 * digits // max(len(core), 1))}", f"kinds{kinds}", f"turns{min(turns // 2, 6)}", f"distinct{distinct(core)}"]
     out.append(f"mixed{kinds >= 2 and digits > 1}{len(core) >= 12}{turns >= 4}")
     if any(b in b"@/:." for b in core):
         out.append("address")
@@ -88,7 +96,7 @@ def neighbour_features(word: bytes, lexicon: frozenset, side: str) -> list[str]:
 
 def file_feature(words: list[bytes]) -> str:
     """A bucket of how many tokens of the file carry assignments."""
-    marks = sum(w in (b"=", b":", b":=") for w in words) if len(words) < 1 << 16 else words.count(b"=") + words.count(b":")
+    marks = words.count(b"=") + words.count(b":") + words.count(b":=")
     return f"file{min(3, marks)}"
 
 
@@ -141,11 +149,12 @@ class _Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         plain = len(word) < 20 and not any(b in _DIGITS for b in word)
-        key = word if not plain or bare(word) in self.model.lexicon else word.translate(_SHAPE)
+        # words of one shape and as many distinct bytes have the same features
+        key = word if not plain or bare(word) in self.model.lexicon else (word.translate(_SHAPE), distinct(core_of(word)))
         at = self.known.get(key)
         if at is None:
             m = self.model
-            parts = (own_features(key, m.lexicon), neighbour_features(key, m.lexicon, "before"), neighbour_features(key, m.lexicon, "after"))
+            parts = (own_features(word, m.lexicon), neighbour_features(word, m.lexicon, "before"), neighbour_features(word, m.lexicon, "after"))
             at = self.known[key] = len(self.table)
             self.table.append(np.stack([m.rows(p) for p in parts]))
         self[word] = at
