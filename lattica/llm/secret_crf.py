@@ -337,8 +337,19 @@ def fit_secrets(docs: DataFrame, fit_rows: int = 3_000, made: int = 600, id_colu
 # ---- the operator ---------------------------------------------------------------------------------------
 
 
+def adds(span: Span, base: list[Span]) -> bool:
+    """Whether a span has a place outside all of ``base``, which is ordered by start."""
+    at = span[1]
+    for _, a, b in base:
+        if a > at:
+            break
+        at = max(at, b)
+    return at < span[2]
+
+
 def find_secrets(docs: DataFrame, model: Field, text_column: str = "text", columns: list[str] | None = None, redact: bool = False) -> DataFrame:
-    """``row`` with spans (kind, start, end in code points): all pattern matches, and the field's beside them;
+    """``row`` with spans (kind, start, end in code points): all pattern matches, and the field's that reach
+    beyond them;
     if asked for, also the text with all spans redacted (null stays null)."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     tables: dict = {}
@@ -353,7 +364,7 @@ def find_secrets(docs: DataFrame, model: Field, text_column: str = "text", colum
             text = text or ""
             data = text.encode()
             base = base_spans(text, data)
-            more = [s for s in crf_spans(shipped.value, tables["table"], text, data) if not any(b[1] < s[2] and s[1] < b[2] for b in base)]
+            more = [s for s in crf_spans(shipped.value, tables["table"], text, data) if adds(s, base)]
             spans = sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
             out.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
         found = {"spans": pa.array(out, kind)}
