@@ -6,6 +6,8 @@ DataFrames; each round's frontier is checkpointed, so lineage stays short and ex
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,15 +126,17 @@ def bidirectional_distance(edges: DataFrame, start, end, most: int = 10) -> int
     return None
 
 
-def all_distances(edges: DataFrame, sources: DataFrame, max_depth: int = 20, direction: str = "out") -> DataFrame:
-    """(source, id, depth) hop distances from many sources at once, itself left out."""
+def all_distances(edges: DataFrame, sources: DataFrame, max_depth: int | None = None, direction: str = "out") -> DataFrame:
+    """(source, id, depth) hop distances from many sources at once, itself left out, at any depth unless one is named."""
     steps = cut(oriented(edges, direction))
     front = sources.select(F.col("id").alias("s"), "id")
     seen = front.select("s", "id", F.lit(0).alias("depth"))
-    for k in range(1, max_depth + 1):
+    for k in count(1) if max_depth is None else range(1, max_depth + 1):
         new = front.join(steps, F.col("id") == F.col("u")).select("s", F.col("v").alias("id")).distinct().join(seen.select("s", "id"), ["s", "id"], "left_anti")
         front = cut(new)
         if not front.limit(1).count():
             break
         seen = seen.union(front.select("s", "id", F.lit(k)))
+        if k % 8 == 0:
+            seen = cut(seen)
     return seen.where("depth > 0").withColumnRenamed("s", "source")

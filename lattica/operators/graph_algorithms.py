@@ -7,6 +7,7 @@ one task per component and check a stated size first.
 from __future__ import annotations
 
 import heapq
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -72,7 +73,7 @@ def eigenvector(edges: DataFrame, rounds: int = 20) -> DataFrame:
     return scores
 
 
-def closeness(edges: DataFrame, direction: str = "out", max_depth: int = 20) -> DataFrame:
+def closeness(edges: DataFrame, direction: str = "out", max_depth: int | None = None) -> DataFrame:
     """Closeness r/sum(d) * r/(n-1), harmonic sum(1/d)/(n-1) and Lin's r^2/((n-1) sum(d))."""
     nodes = cut(vertices(edges))
     n = max(nodes.count() - 1, 1)
@@ -82,7 +83,7 @@ def closeness(edges: DataFrame, direction: str = "out", max_depth: int = 20) ->
     return out.select("id", (ratio * F.col("r") / n).alias("closeness"), (F.col("h") / n).alias("harmonic"), (ratio * F.col("r") / n).alias("lin"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame | None = None, max_depth: int = 20, normalised: bool = True) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame | None = None, max_depth: int | None = None, normalised: bool = True) -> DataFrame:
     """Brandes over all sources (or some, scaled): path counts level by level, then dependencies back."""
     steps, nodes = cut(oriented(edges)), cut(vertices(edges))
     n = nodes.count()
@@ -90,7 +91,7 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, max_depth: i
     scale = n / max(chosen.count(), 1) / (((n - 1) * (n - 2)) if normalised and n > 2 else 1)
     front = chosen.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("sigma"))
     seen, levels = front.select("s", "id"), [front]
-    for _ in range(max_depth):
+    for _ in count() if max_depth is None else range(max_depth):
         new = front.join(steps, F.col("id") == F.col("u")).join(seen.select("s", F.col("id").alias("v")), ["s", "v"], "left_anti").groupBy("s", "v").agg(F.sum("sigma").alias("sigma"))
         front = cut(new.select("s", F.col("v").alias("id"), "sigma"))
         if not front.limit(1).count():
@@ -312,11 +313,11 @@ def topological_levels(edges: DataFrame) -> DataFrame:
     return out if out is not None else left.limit(0).select("id", F.lit(0).alias("level"))
 
 
-def weighted_distances(edges: DataFrame, start, max_rounds: int = 50) -> DataFrame:
+def weighted_distances(edges: DataFrame, start, max_rounds: int | None = None) -> DataFrame:
     """Bellman-Ford relaxation: (id, distance, path) for non-negative weights; unreachable nodes are missing."""
     e = cut(edges.groupBy("source", "target").agg(F.min("weight").alias("w")))
     best = e.sparkSession.range(1).select(F.lit(start).alias("id"), F.lit(0.0).alias("distance"), F.array(F.lit(start)).alias("path"))
-    for _ in range(max_rounds):
+    for _ in count() if max_rounds is None else range(max_rounds):
         more = best.join(e, best.id == e.source).where(~F.array_contains("path", F.col("target"))).select(F.col("target").alias("id"), (F.col("distance") + F.col("w")).alias("distance"), F.concat("path", F.array("target")).alias("path"))
         new = cut(best.withColumn("old", F.lit(True)).unionByName(more.withColumn("old", F.lit(False))).groupBy("id").agg(F.min(F.struct("distance", "path")).alias("m"), F.min(F.when(F.col("old"), F.col("distance"))).alias("had")))
         best = new.select("id", "m.distance", "m.path")
