@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; set one only where the cluster names none."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; a local session without one gets a folder of its own, while
+    a cluster must name one, as its executors can't write to the driver's disk."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = context.getConf().get("spark.checkpoint.dir")
+        if not configured and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lattica-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,6 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder; unlike after ``cut``, later reads prune its columns."""
+    place = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver drop plans that nothing refers to, so that Spark's cleaner frees their shuffle files.
 
