@@ -1,4 +1,4 @@
-"""Pieces that several operators share: blocks of rows and components of a link table."""
+"""Pieces that several operators share: rows through Arrow, lookups with hot keys, components of a link table."""
 
 from __future__ import annotations
 
@@ -7,33 +7,47 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.session import cut
 
 
-def block_of(blocks: int, *columns: str) -> Column:
-    """The block of a row: the same for equal rows in every run, even over blocks."""
-    return F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int")
+#: A key that more than one in this many rows have is hot; so there are at most as many hot keys.
+HOT_SHARE = 1000
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def lookup(rows: DataFrame, key: str, names: DataFrame, total: int, least: int = 1000) -> DataFrame:
+    """``rows`` left-joined with ``names``, which has one row for each ``key``; ``total`` is the number of rows.
+
+    The names of hot keys, those of more than a ``HOT_SHARE``-th of all rows (and ``least``), are broadcast: at
+    most ``HOT_SHARE`` rows of them. So the rows of a hot key stay where they are instead of meeting in one task.
+    """
+    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > max(total // HOT_SHARE, least)).select(key)
+    tagged = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    few = names.join(F.broadcast(hot), key, "left_semi")
+    plain = tagged.where("_hot is null").join(names, key, "left")
+    return plain.unionByName(tagged.where("_hot").join(F.broadcast(few), key, "left")).drop("_hot")
+
+
+def connected_components(edges: DataFrame, least: int = 1000) -> DataFrame:
     """``(node, component)`` of an undirected ``(a, b)`` link table, component being the smallest node.
 
     Rounds of neighbour minimum and pointer jumping; each round is checkpointed, so that executors may be
-    lost at any time. Sums and minima are combined before they are dealt out, so hubs are no hot keys.
+    lost at any time. Minima are combined before they are dealt out, and hubs, nodes or components that many
+    links or nodes point at, are looked up in a small broadcast table, so that neither is a hot key.
     """
     edges = edges.where("a is not null and b is not null and a <> b")
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("l")).select("node", F.least("node", "l").alias("component")))
+    links, nodes = both.count(), labels.count()
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("m"))
-        lowest = labels.join(near, labels.node == near.a).select("node", "component", F.least("component", "m").alias("low"))
-        jump = labels.select(F.col("node").alias("at"), F.col("component").alias("up"))
-        stepped = lowest.join(jump, lowest.low == jump["at"], "left").select("node", F.least("low", "up").alias("next"), (F.least("low", "up") < F.col("component")).alias("moved"))
-        stepped = cut(stepped)
+        known = labels.select(F.col("node").alias("b"), "component")
+        near = lookup(both, "b", known, links, least).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
+        lowest = cut(labels.join(near, "node").select("node", "component", F.least("component", "m").alias("low")))
+        jump = labels.select(F.col("node").alias("low"), F.col("component").alias("up"))
+        stepped = cut(lookup(lowest, "low", jump, nodes, least).select("node", F.least("low", "up").alias("next"), (F.least("low", "up") < F.col("component")).alias("moved")))
         labels = stepped.select("node", F.col("next").alias("component"))
         if not stepped.where("moved").limit(1).count():
             return labels
@@ -77,5 +91,10 @@ def field(rows: pa.StructArray, name: str) -> pa.Array:
 
 
 def bounded_sample(df: DataFrame, id_column: str, rows: int) -> DataFrame:
-    """The ``rows`` rows of smallest hash of the id; a fit on them is the same in every run."""
-    return df.orderBy(F.xxhash64(id_column), id_column).limit(rows)
+    """The ``rows`` rows of smallest hash of the id; a fit on them is the same in every run.
+
+    The bound is on rows: rows that share an id count each, ties go by the hash of all columns, and what is
+    then equal in all of them is the same whichever row stays.
+    """
+    whole = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
+    return df.orderBy(F.xxhash64(id_column), id_column, whole).limit(rows)

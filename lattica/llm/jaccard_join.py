@@ -19,14 +19,20 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lattica.llm.common import block_of, connected_components, trimmed
-from lattica.llm.textkit import mix, pack_counts, pack_sorted, row_chunks, shingle_hashes, squeeze, text_buffers, unpack_counts, unpack_sorted, unsqueeze, word_hashes, word_spans
-from lattica.session import blocks_for, cut, release, size_in_bytes
+from lattica.llm.common import connected_components, lookup, trimmed
+from lattica.llm.exchange import BLOCK_BYTES, FAN_OUT, gather, packed_blocks, unpacked, values_of
+from lattica.llm.textkit import mix, row_chunks, shingle_hashes, text_buffers, word_hashes, word_spans
+from lattica.session import cut, stored
 
 _U = np.uint64
+#: Leading bits of a shingle's hash that frequencies are counted on; they only order shingles.
+BITS = 48
 LEAF = 24
 PIVOTS = 4
+#: Most pivots of a region in one round of ``_peel``.
+BALLS = 32
 
 
 def shingle_sets(column: pa.ChunkedArray, k: int, lower: bool = True) -> list[np.ndarray]:
@@ -65,35 +71,26 @@ def _own_sets(table: pa.Table, k: int) -> tuple[list[np.ndarray], np.ndarray, np
     return sets, nodes, first & np.array([len(s) > 0 for s in sets], bool)
 
 
-def _count_block(table: pa.Table, k: int, shards: int, bits: int) -> pa.Table:
+def _count_block(table: pa.Table, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The shingles of a block's distinct sets, and how many of these sets have each."""
     sets, _, first = _own_sets(table, k)
-    own = [s >> _U(64 - bits) for s, f in zip(sets, first) if f]
+    own = [s >> _U(64 - BITS) for s, f in zip(sets, first) if f]
     keys, counts = np.unique(np.concatenate(own) if own else np.zeros(0, _U), return_counts=True)
-    cuts = np.searchsorted(keys, (np.arange(shards + 1, dtype=np.float64) * (float(1 << bits) / shards)).astype(_U))
-    cuts[-1] = len(keys)
-    rows = [(s, pack_sorted(keys[a:b]), pack_counts(counts[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-    return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(rows), pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
+    return [keys], [counts]
 
 
-def _sum_shard(table: pa.Table) -> pa.Table:
-    """Each block's keys in order with a level: 0 for a shingle of one set only, else growing with frequency."""
-    parts = [unpack_sorted(b.as_py()) for b in table.column("keys")]
-    counts = np.concatenate([unpack_counts(b.as_py()) for b in table.column("counts")])
-    _, at = np.unique(np.concatenate(parts), return_inverse=True)
-    total = np.bincount(at, weights=counts)
-    levels = np.minimum(np.ceil(np.log2(total) * 8), 255).astype(np.uint8)[at]
-    cuts = np.cumsum([0, *(len(p) for p in parts)])
-    return pa.table({"block": table.column("block"), "shard": table.column("shard"), "levels": pa.array([squeeze(levels[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
+def _levels(totals: list[np.ndarray]) -> tuple[list[np.ndarray], list[int]]:
+    """A level for each shingle: 0 for one of a single set, else growing with its frequency."""
+    return [np.minimum(np.ceil(np.log2(np.maximum(totals[0], _U(1)).astype(np.float64)) * 8), 255).astype(_U)], []
 
 
-def _windows(left: pa.Table, right: pa.Table, k: int, percent: int, bits: int) -> pa.Table:
+def _windows(left: pa.Table, right: pa.Table, k: int, percent: int, kind: pa.DataType) -> pa.Table:
     """A row per document; where its window has shared shingles, these and the whole set."""
-    sets, nodes, first = _own_sets(left, k)
-    own = [s >> _U(64 - bits) if f else np.zeros(0, _U) for s, f in zip(sets, first)]
+    table = unpacked(left.column("data")[0])
+    sets, nodes, first = _own_sets(table, k)
+    own = [s >> _U(64 - BITS) if f else np.zeros(0, _U) for s, f in zip(sets, first)]
     _, at = np.unique(np.concatenate(own) if own else np.zeros(0, _U), return_inverse=True)
-    shards = np.array(right.column("shard").to_pylist(), np.int64)
-    blobs = right.column("levels")
-    levels = np.frombuffer(b"".join(unsqueeze(blobs[int(i)].as_py()) for i in np.argsort(shards)), np.uint8)
+    levels = values_of(right, 1)[0].astype(np.uint8)
     cuts = np.cumsum([0, *map(len, own)])
     keys: list = [None] * len(sets)
     whole: list = [None] * len(sets)
@@ -106,8 +103,9 @@ def _windows(left: pa.Table, right: pa.Table, k: int, percent: int, bits: int) -
         keys[i] = sets[i][chosen[mine[chosen] > 0]].view(np.int64)
         whole[i] = sets[i].tobytes()
     return pa.table({
-        "id": left.column("id"), "n": pa.array([len(s) for s in sets], pa.int64()),
+        "id": table.column("id").cast(kind), "n": pa.array([len(s) for s in sets], pa.int64()),
         "node": pa.array(nodes, pa.int64(), mask=np.array([len(s) == 0 for s in sets], bool)),
+        "open": pa.array([w is not None for w in whole], pa.bool_()),
         "keys": pa.array(keys, pa.list_(pa.int64())), "shingles": pa.array(whole, pa.binary()),
     })
 
@@ -213,71 +211,106 @@ def _join_region(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(nodes), "b": pa.array(nodes[roots])})
 
 
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x: bytes, y: bytes) -> float:
-        common = len(np.intersect1d(np.frombuffer(x, _U), np.frombuffer(y, _U), assume_unique=True))
-        return common / ((len(x) + len(y)) // 8 - common)
+def _similarities(own: pd.Series, pivots: pd.Series) -> pd.Series:
+    """The similarity of each set with each of the pivots of its region."""
 
-    return pd.Series([None if y is None else one(x, y) for x, y in zip(a, b)], dtype="float64")
+    def one(x: bytes, others: list[bytes]) -> list[float]:
+        mine, out = np.frombuffer(x, _U), []
+        for other in others:
+            common = len(np.intersect1d(mine, np.frombuffer(other, _U), assume_unique=True))
+            out.append(common / ((len(x) + len(other)) // 8 - common))
+        return out
+
+    return pd.Series([one(x, y) for x, y in zip(own, pivots)])
+
+
+def _by_key(rows: DataFrame, anchors: DataFrame, met: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` of large components as regions of one window shingle each: linked sets share such a shingle.
+
+    Shingles that exactly the same sets have make one region.
+    """
+    own = anchors.join(met.select("key"), "key").join(members.select("node"), "node", "left_semi")
+    alike = own.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("s"), F.bit_xor(F.xxhash64("node")).alias("x"))
+    chosen = alike.groupBy("c", "s", "x").agg(F.min("key").alias("key")).where("c > 1").select("key")
+    return own.join(chosen, "key").select("node", F.col("key").alias("component")).join(members.drop("component"), "node")
 
 
 def _peel(members: DataFrame, percent: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Shrink regions of more than ``most`` shingles, ball by ball, in Spark: what links with a pivot leaves,
-    but for the rim that may still link with something outside the ball."""
+    """Shrink regions of more than ``most`` shingles in Spark, many balls a round: what links with a pivot leaves,
+    but for the rim that may still link with something outside the ball.
+
+    The sets of a region are dealt to as many pieces as it is times too large, each with a copy of the pivots.
+    """
     links: list[DataFrame] = []
-    similarity = F.pandas_udf(_similarity, "double")
+    similarities, radius = F.pandas_udf(_similarities, "array<double>"), 1 - percent / 100
+    turn = 0
     while True:
-        sizes = members.groupBy("component").agg(F.sum("n").alias("s"), F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("pivot"), F.col("shingles").alias("ps"))).alias("p"))
-        large = cut(sizes.where(F.col("s") > most).select("component", "p.pivot", "p.ps"))
-        if not large.limit(1).count():
+        sizes = cut(members.groupBy("component").agg(F.sum("n").alias("s"), F.count("*").alias("c")).where(F.col("s") > most))
+        if not sizes.limit(1).count():
             return members, links
-        far = members.join(large, "component", "left").withColumn("j", F.when(F.col("ps").isNotNull(), similarity("shingles", "ps")))
-        far = cut(far.withColumn("linked", F.col("j") * 100 >= percent - 1e-9).drop("ps"))
-        links.append(far.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        rim = far.where("not linked").groupBy("component").agg(F.max("j").alias("most"))
-        radius = 1 - percent / 100
-        kept = far.join(rim, "component", "left").where(F.col("j").isNull() | ((F.col("node") != F.col("pivot")) & (~F.col("linked") | (F.col("j") <= F.col("most") + radius + 1e-9))))
-        members = cut(kept.select("component", "node", "n", "shingles"))
-
-
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = 4 << 20, region_shingles: int = 4_000_000) -> DataFrame:
-    """``(id, n_shingles, component_id)`` per row of ``docs``.
+        # As many pivots as have a quarter of ``most`` shingles together, on average.
+        pieces = F.ceil(F.col("s") / most).cast("int")
+        balls = F.greatest(F.lit(1), F.least(F.lit(BALLS), F.floor(most / 4 * F.col("c") / F.col("s")))).cast("int")
+        facts = sizes.select("component", "c", pieces.alias("pieces"), balls.alias("balls"))
+        tagged = cut(lookup(members, "component", facts, members.count()))
+        large = tagged.where("pieces is not null").withColumn("piece", F.pmod(F.xxhash64(F.lit(-1), "node"), F.col("pieces")).cast("int"))
+        picked = large.where(F.pmod(F.xxhash64(F.lit(turn), "node"), F.col("c")) < F.col("balls"))
+        pivots = cut(picked.groupBy("component").agg(F.collect_list("node").alias("pn"), F.collect_list("shingles").alias("ps"), F.first("pieces").alias("pieces")))
+        copies = pivots.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+        far = cut(large.join(copies, ["component", "piece"]).withColumn("js", similarities("shingles", "ps")).drop("ps"))
+        each = far.select("component", "node", F.explode(F.arrays_zip("pn", "js")).alias("p")).select("component", "node", "p.pn", (F.col("p.js") * 100 >= percent - 1e-9).alias("linked"), "p.js")
+        links.append(each.where("linked").select(F.col("node").alias("a"), F.col("pn").alias("b")))
+        rims = each.where("not linked").groupBy("component", "pn").agg(F.max("js").alias("rim")).groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("pn", "rim"))).alias("rims"))
+        rims = rims.join(pivots.select("component", "pieces"), "component").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+        inner = F.exists(F.arrays_zip("pn", "js"), lambda p: (p["js"] * 100 >= percent - 1e-9) & F.coalesce(p["js"] > F.try_element_at("rims", p["pn"]) + radius + 1e-9, F.lit(True)))
+        kept = far.join(rims, ["component", "piece"], "left").where(~inner & ~F.array_contains("pn", F.col("node"))).select("component", "node", "n", "shingles")
+        untried = large.join(pivots.select("component"), "component", "left_anti").select("component", "node", "n", "shingles")
+        members = cut(tagged.where("pieces is null").select("component", "node", "n", "shingles").union(kept).union(untried))
+        turn += 1
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES, region_shingles: int = 4_000_000, fan_out: int = FAN_OUT) -> DataFrame:
+    """``(id, n_shingles, component_id)`` per row of ``docs``; ids are of any type with an order.
 
     Rows link when 100 * common >= ``percent`` * united shingles of ``k`` words, A-Z lower-cased.
-    ``block_bytes`` of stored input are counted at a time; regions of over ``region_shingles`` are first
-    shrunk over all executors.
+    ``block_bytes`` of text are counted at a time; components of over ``region_shingles`` are parted by
+    shingles, and regions that still are over it are first shrunk over all executors.
     """
-    source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    blocks = blocks_for(docs, block_bytes)
-    #: Frequencies are counted on leading bits of a shingle's hash, enough to tell shingles apart; they only order them.
-    bits = min(56, max(32, size_in_bytes(docs).bit_length() + 4))
-    source = source.withColumn("block", block_of(blocks, "id", "text")).select("block", "id", "text")
-    counted = source.groupBy("block").applyInArrow(lambda t: trimmed(_count_block(t, k, blocks, bits)), "shard int, block int, keys binary, counts binary")
-    levels = cut(counted.groupBy("shard").applyInArrow(lambda t: trimmed(_sum_shard(t)), "block int, shard int, levels binary"))
-    del counted
-    release(docs.sparkSession)
-    rows = cut(source.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(lambda t, levels: trimmed(_windows(t, levels, k, percent, bits)), "id long, n long, node long, keys array<long>, shingles binary"))
-
-    release(docs.sparkSession)
-    anchors = rows.where("keys is not null").select("node", F.explode("keys").alias("key")).distinct()
+    source = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
+    kind = source.schema["id"].dataType
+    arrow = to_arrow_type(kind)
+    blocks = packed_blocks(source, "text", block_bytes)
+    levels, _ = gather(blocks, lambda t: _count_block(t, k), [BITS], _levels, fan_out, block_bytes)
+    joined = blocks.select("block", "data").groupBy("block").cogroup(levels.groupBy("block"))
+    rows = stored(joined.applyInArrow(lambda t, levels: trimmed(_windows(t, levels, k, percent, arrow)), f"id {kind.simpleString()}, n long, node long, open boolean, keys array<long>, shingles binary"))
+
+    anchors = rows.where("open").select("node", F.explode("keys").alias("key")).distinct()
     met = anchors.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
     candidates = connected_components(anchors.join(met, "key").select(F.col("node").alias("a"), "b").distinct())
-    members = rows.where("shingles is not null").select("node", "n", "shingles").join(candidates, "node")
-    weights = members.select("component", "node", "n").distinct().groupBy("component").agg(F.sum("n").alias("s"))
+    # A set is sent once, however many rows and blocks have it.
+    members = rows.where("open").groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")).join(candidates, "node").select("component", "node", "n", "shingles")
+    weights = rows.where("open").select("node", "n").distinct().join(candidates, "node").groupBy("component").agg(F.sum("n").alias("s"), F.count("*").alias("c")).where("c > 1")
+    large = cut(weights.where(F.col("s") > region_shingles).select("component"))
     links: list[DataFrame] = []
-    if weights.where(F.col("s") > region_shingles).limit(1).count():
-        members, links = _peel(cut(members.dropDuplicates(["node"])), percent, region_shingles)
-    linked = members.groupBy("component").applyInArrow(lambda t: trimmed(_join_region(t, percent)), "a long, b long")
-    if links:
+    if large.limit(1).count():
+        members = cut(members)
+        rest = members.join(large, "component", "left_anti")
+        parted = cut(_by_key(rows, anchors, met, members.join(large, "component", "left_semi")).select("component", "node", "n", "shingles"))
+        shrunk, links = _peel(parted, percent, region_shingles)
+        # Components and shingles are both hashes; the sign of a part tells them apart.
+        members = rest.withColumn("part", F.lit(0)).union(shrunk.withColumn("part", F.lit(1)))
+        linked = members.groupBy("part", "component").applyInArrow(lambda t: trimmed(_join_region(t, percent)), "a long, b long")
         for more in links:
             linked = linked.union(more)
         labels = connected_components(linked)
     else:
+        linked = members.groupBy("component").applyInArrow(lambda t: trimmed(_join_region(t, percent)), "a long, b long")
         labels = cut(linked).select(F.col("a").alias("node"), F.col("b").alias("component"))
 
     ids = rows.select("id", "n", "node")
     lowest = ids.where("node is not null").groupBy("node").agg(F.min("id").alias("copy"))
-    named = labels.join(lowest, "node")
-    named = named.join(named.groupBy("component").agg(F.min("copy").alias("low")), "component").select("node", "low")
-    out = ids.join(lowest, "node", "left").join(named, "node", "left")
-    return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("low", "copy", "id").alias("component_id"))
+    named = cut(lowest.join(labels, "node", "left"))
+    low = named.where("component is not null").groupBy("component").agg(F.min("copy").alias("low"))
+    names = lookup(named, "component", low, named.count()).select("node", F.coalesce("low", "copy").alias("first"))
+    out = lookup(ids, "node", names, ids.count())
+    return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("first", "id").alias("component_id"))

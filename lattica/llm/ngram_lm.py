@@ -1,13 +1,16 @@
 """LM scoring: an n-gram model counted over all training documents, held in Elias-Fano tries.
 
-Documents are dealt to blocks. Each block sends its distinct n-grams (as hashes, sorted and packed) to shards
-by hash range; shards add up the counts of the whole corpus and answer every block in its own order. A block
-then builds the trie of just the n-grams that it can meet: memory-mapped levels of monotone pointers, words
-and quantised smoothed probabilities, queried by successor search relative to the context. No task holds
-more than its block's or its shard's n-grams, and nothing of the corpus passes the driver but two totals.
+Rows are packed into blocks where they are scanned. Each block states its distinct n-grams, as hashes of 60
+bits whatever the size of the corpus, and is told their counts in all training documents; the exchange has
+bounded fan-out. A block then builds the trie of the n-grams of the corpus that it can meet: memory-mapped
+levels of monotone pointers, words and quantised smoothed probabilities. Every token of its texts walks this
+trie by successor search relative to its context, and where a level has no such word, backs off. No task holds
+more than a block's or a unit's n-grams, and nothing of the corpus passes the driver but two totals.
 
 Probabilities are Dirichlet-smoothed: p(w | h) = (c(hw) + mu p(w | h')) / (c(h) + mu), down to
-(c(w) + 1) / (N + V + 1). Null and empty texts are one end token; repeated rows count as often as they occur.
+(c(w) + 1) / (N + V + 1). Null and empty texts are one end token; very long texts are scored whole, in a block
+of their own; repeated rows count as often as they occur; an empty table gives no rows. Only the id and the text
+are read, so other columns can clash with nothing and are not returned.
 """
 
 from __future__ import annotations
@@ -18,13 +21,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lattica.llm.common import block_of, trimmed
-from lattica.llm.textkit import mix, pack_counts, pack_sorted, row_chunks, text_buffers, unpack_counts, unpack_sorted, word_hashes, word_spans
-from lattica.session import blocks_for, cut, release, size_in_bytes
+from lattica.llm.common import trimmed
+from lattica.llm.exchange import BLOCK_BYTES, FAN_OUT, gather, packed_blocks, unpacked, values_of
+from lattica.llm.textkit import mix, row_chunks, text_buffers, word_hashes, word_spans
 
 _U = np.uint64
 START, END = _U(0xA5A5A5A5A5A5A5A5), _U(0x5A5A5A5A5A5A5A5A)
+#: Bits of an n-gram's hash.
+BITS = 60
 #: Steps of a log10 probability in the quantised levels.
 STEP = 1 / 4096
 _NTH = np.full((256, 8), 255, np.uint8)
@@ -169,15 +175,10 @@ def mapped(array: np.ndarray) -> np.ndarray:
         return np.asarray(np.memmap(file, array.dtype, "r", shape=array.shape))
 
 
-def key_bits(order: int, bits: int) -> int:
-    """Words keep 60 bits of their hash; longer n-grams ``bits``, as a false match there moves a probability only."""
-    return 60 if order == 1 else bits
-
-
 class Grams:
     """Tokens and n-grams of some texts; order k of token i ends with it and may begin with the start mark."""
 
-    def __init__(self, column: pa.ChunkedArray, order: int, bits: int):
+    def __init__(self, column: pa.ChunkedArray, order: int):
         data, offsets = text_buffers(column)
         rows, hashes, counts = len(offsets) - 1, [np.zeros(0, _U)], [np.zeros(0, np.int64)]
         for lo, hi in row_chunks(offsets):
@@ -203,46 +204,30 @@ class Grams:
                 before = np.concatenate([np.full(back, START), self.tokens[: len(self.tokens) - back]]) if back else self.tokens
                 before = np.where(place < back, START, before)
                 h = mix(h * _U(0xD6E8FEB86659FD93) + before)
-            self.keys.append(h >> _U(64 - key_bits(k, bits)))
+            self.keys.append(h >> _U(64 - BITS))
 
 
-def _count_block(table: pa.Table, order: int, shards: int, bits: int) -> pa.Table:
-    grams = Grams(table.column("text"), order, bits)
+def _count_block(table: pa.Table, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """A block's distinct n-grams of each order and how often its training texts have them."""
+    grams = Grams(table.column("text"), order)
     train = np.repeat(np.array(table.column("train").to_pylist(), bool), grams.counts)
-    columns: list[list] = []
-    for k, (has, keys) in enumerate(zip(grams.has, grams.keys), 1):
-        size = -(-(1 << key_bits(k, bits)) // shards)
+    found, times = [], []
+    for has, keys in zip(grams.has, grams.keys):
         own, at = np.unique(keys[has], return_inverse=True)
-        counts = np.bincount(at, weights=train[has], minlength=len(own)).astype(np.uint32)
-        cuts = np.searchsorted(own, np.arange(shards + 1).astype(_U) * _U(size))
-        columns.append([pack_sorted(own[a:b]) for a, b in zip(cuts[:-1], cuts[1:])])
-        columns.append([pack_counts(counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:])])
-    block = table.column("block")[0].as_py()
-    return pa.table({"shard": pa.array(range(shards), pa.int32()), "block": pa.array([block] * shards, pa.int32()), "keys": pa.array(list(zip(*columns[::2])), pa.list_(pa.binary())), "counts": pa.array(list(zip(*columns[1::2])), pa.list_(pa.binary()))})
-
-
-def _sum_shard(table: pa.Table, order: int) -> pa.Table:
-    """Corpus counts of each block's keys, in its order, and the totals of order 1 under block -1."""
-    keys, counts = table.column("keys").to_pylist(), table.column("counts").to_pylist()
-    answers: list[list[bytes]] = [[] for _ in keys]
-    tokens = types = 0
-    for k in range(order):
-        parts = [unpack_sorted(row[k]) for row in keys]
-        _, at = np.unique(np.concatenate(parts), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([unpack_counts(row[k]) for row in counts])).astype(np.uint64) if len(at) else np.zeros(0, _U)
-        if not k:
-            tokens, types = int(total.sum()), int((total > 0).sum())
-        cuts = np.cumsum([0, *map(len, parts)])
-        for answer, a, b in zip(answers, cuts[:-1], cuts[1:]):
-            answer.append(pack_counts(total[at[a:b]]))
-    n = len(keys)
-    return pa.table({"block": pa.array([*table.column("block").to_pylist(), -1], pa.int32()), "shard": pa.array([*table.column("shard").to_pylist(), -1], pa.int32()), "counts": pa.array([*answers, []], pa.list_(pa.binary())), "tokens": pa.array([0] * n + [tokens], pa.int64()), "types": pa.array([0] * n + [types], pa.int64())})
-
-
-def _score_block(left: pa.Table, right: pa.Table, order: int, bits: int, tokens: int, types: int, weight: float) -> pa.Table:
-    grams = Grams(left.column("text"), order, bits)
-    answers = [right.column("counts")[int(i)].as_py() for i in np.argsort(np.array(right.column("shard").to_pylist()))]
-    counts = [np.concatenate([unpack_counts(a[k]) for a in answers]).astype(np.int64) for k in range(order)]
+        found.append(own)
+        times.append(np.bincount(at, weights=train[has], minlength=len(own)).astype(np.uint32))
+    return found, times
+
+
+def _totals(totals: list[np.ndarray]) -> tuple[list[np.ndarray], list[int]]:
+    """Counts as they are, and the training tokens and types of a unit's words."""
+    return totals, [int(totals[0].sum()), int((totals[0] > 0).sum())]
+
+
+def _score_block(left: pa.Table, right: pa.Table, order: int, tokens: int, types: int, weight: float, kind: pa.DataType) -> pa.Table:
+    table = unpacked(left.column("data")[0])
+    grams = Grams(table.column("text"), order)
+    counts = [c.astype(np.int64) for c in values_of(right, order)]
     total = tokens + types + 1
     # Order 1: the ids of the block's words, START being one more.
     own, ids = np.unique(grams.keys[0], return_inverse=True)
@@ -260,48 +245,42 @@ def _score_block(left: pa.Table, right: pa.Table, order: int, bits: int, tokens:
     parent_backoff, parent_count = backoff[previous], context_count[previous]
     for k in range(1, order):
         has = np.flatnonzero(grams.has[k])
-        _, first, at = np.unique(grams.keys[k][has], return_index=True, return_inverse=True)
-        count, one = counts[k], has[first]
-        up, word = parent[one], ids[one]
-        lowered = scores[one]
-        order_by = np.argsort((up + 1) * (len(own) + 1) + word)
-        kept = order_by[(count[order_by] > 0) & (up[order_by] >= 0)]
-        logs = np.log10((count[kept] + weight * 10 ** lowered[kept]) / (parent_count[one][kept] + weight))
-        level = Level(up[kept], word[kept], logs, np.log10(weight / (count[kept] + weight)), above, mapped)
-        found = np.full(len(one), -1, np.int64)
-        found[order_by] = level.find(up[order_by], word[order_by])
-        value = np.where(found >= 0, restored(level.logs[np.maximum(found, 0)]) if len(kept) else 0.0, parent_backoff[one] + lowered)
-        scores = scores.copy()
-        scores[has] = value[at]
+        # The trie's level: n-grams of the corpus, each by the first token that has it.
+        _, first = np.unique(grams.keys[k][has], return_index=True)
+        of_corpus = counts[k] > 0
+        one, count = has[first][of_corpus], counts[k][of_corpus]
+        sorted_ = np.argsort(parent[one] * (len(own) + 1) + ids[one])
+        one, count = one[sorted_], count[sorted_]
+        logs = np.log10((count + weight * 10 ** scores[one]) / (parent_count[one] + weight))
+        level = Level(parent[one], ids[one], logs, np.log10(weight / (count + weight)), above, mapped)
+        # The walk: every token asks its context's node for its word.
+        node = np.full(len(ids), -1, np.int64)
+        asked = has[parent[has] >= 0]
+        asked = asked[np.argsort(parent[asked] * (len(own) + 1) + ids[asked])]
+        node[asked] = level.find(parent[asked], ids[asked])
+        there = node >= 0
+        scores = np.where(there, 0.0, scores + np.where(grams.has[k], parent_backoff, 0.0))
+        scores[there] = restored(level.logs[node[there]])
         # The context of the next token at the next order is this token's n-gram.
-        node, seen = np.full(len(ids), -1, np.int64), np.zeros(len(ids))
-        node[has] = found[at]
-        gain = np.zeros(len(one))
-        if len(kept):
-            gain = np.where(found >= 0, restored(level.backoffs[np.maximum(found, 0)]), 0.0)
-        seen[has] = gain[at]
-        times = np.zeros(len(ids), np.int64)
-        times[has] = np.where(found >= 0, count, 0)[at]
+        seen, times = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+        seen[there], times[there] = restored(level.backoffs[node[there]]), count[node[there]]
         shift = lambda x, empty: np.concatenate([[empty], x[:-1]])
-        parent, parent_backoff, parent_count, above = shift(node, -1), shift(seen, 0.0), shift(times, 0), len(kept)
+        parent, parent_backoff, parent_count, above = shift(node, -1), shift(seen, 0.0), shift(times, 0), len(one)
     add = lambda x: np.add.reduceat(x, grams.begins[:-1]) if grams.rows else np.zeros(0)
-    return pa.table({"id": left.column("id"), "train": left.column("train"), "n_tokens": pa.array(grams.counts, pa.int64()), "n_known": pa.array(add((known[ids] > 0).astype(np.int64)), pa.int64()), "base_score": pa.array(add(base), pa.float64()), "score": pa.array(add(scores), pa.float64())})
+    return pa.table({"id": table.column("id").cast(kind), "train": table.column("train"), "n_tokens": pa.array(grams.counts, pa.int64()), "n_known": pa.array(add((known[ids] > 0).astype(np.int64)), pa.int64()), "base_score": pa.array(add(base), pa.float64()), "score": pa.array(add(scores), pa.float64())})
 
 
-def score_texts(docs: DataFrame, held_out, id_column: str = "doc_id", text_column: str = "text", order: int = 3, weight: float = 2.0, block_bytes: int = 4 << 20) -> DataFrame:
-    """A row per document: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
+def score_texts(docs: DataFrame, held_out, id_column: str = "doc_id", text_column: str = "text", order: int = 3, weight: float = 2.0, block_bytes: int = BLOCK_BYTES, fan_out: int = FAN_OUT) -> DataFrame:
+    """A row per document: id (of any type), held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
 
     ``held_out`` is a column; what it marks is scored but not learned from. ``weight`` is the smoothing mu.
     """
-    blocks = blocks_for(docs, block_bytes)
-    bits = min(60, max(44, size_in_bytes(docs).bit_length() + 14))
-    source = docs.select(block_of(blocks, id_column, text_column).alias("block"), F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), (~held_out).alias("train"))
-    counted = source.groupBy("block").applyInArrow(lambda t: trimmed(_count_block(t, order, blocks, bits)), "shard int, block int, keys array<binary>, counts array<binary>")
-    answers = cut(counted.groupBy("shard").applyInArrow(lambda t: trimmed(_sum_shard(t, order)), "block int, shard int, counts array<binary>, tokens long, types long"))
-    del counted
-    release(docs.sparkSession)
-    totals = answers.where("block < 0").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
-    tokens, types = totals["n"] or 0, totals["v"] or 0
-    asked = answers.where("block >= 0").select("block", "shard", "counts")
-    scored = source.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(lambda t, a: trimmed(_score_block(t, a, order, bits, tokens, types, weight)), "id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    source = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"), (~held_out).alias("train"))
+    kind = source.schema["id"].dataType
+    arrow = to_arrow_type(kind)
+    blocks = packed_blocks(source, "text", block_bytes)
+    answers, notes = gather(blocks, lambda t: _count_block(t, order), [BITS] * order, _totals, fan_out, block_bytes)
+    tokens, types = notes or (0, 0)
+    joined = blocks.select("block", "data").groupBy("block").cogroup(answers.groupBy("block"))
+    scored = joined.applyInArrow(lambda t, a: trimmed(_score_block(t, a, order, tokens, types, weight, arrow)), f"id {kind.simpleString()}, train boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("id").alias(id_column), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
