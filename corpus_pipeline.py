@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lattica.llm import decontaminate, quality_gbt, secret_crf, sp_tokenizer
 from lattica.llm.jaccard_join import jaccard_components
 from lattica.llm.queries import MODEL_PATH
-from lattica.session import ensure_checkpoint_dir, release, table
+from lattica.session import ensure_checkpoint_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +54,9 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage keeps is written to the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
-        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

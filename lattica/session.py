@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,20 +39,6 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver drop plans that nothing refers to, so that Spark's cleaner frees their shuffle files.
-
-    Called between the large steps of a query. Listeners need a moment to let go of a finished plan, what has a
-    finaliser goes with the second collection only, and executors delete their files one after the other; the
-    few seconds are fixed, while the files grow with the input.
-    """
-    for _ in range(3):
-        time.sleep(0.4)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    time.sleep(2.5)
-
-
 def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df`` (file sizes for a scan); where it knows none, as for rows made
     in memory, the strings are measured."""
@@ -63,11 +47,3 @@ def size_in_bytes(df: DataFrame) -> int:
         return estimate
     strings = sum((F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) for c, t in df.dtypes if t == "string"), F.lit(0).cast("long"))
     return int(df.agg(F.sum(strings + 8 * len(df.columns)).alias("n")).first()["n"] or 0)
-
-
-def blocks_for(df: DataFrame, block_bytes: int, least_bytes: int = 256 << 10) -> int:
-    """How many blocks of about ``block_bytes`` of stored input ``df`` makes; a smaller input is dealt to as
-    many blocks as there are shuffle partitions, if they get ``least_bytes`` each."""
-    size = size_in_bytes(df)
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(4, -(-size // block_bytes), min(wanted, size // least_bytes))
