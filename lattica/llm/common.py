@@ -11,19 +11,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.session import cut
+from lattica.session import stored
 
 
 #: A key that more than one in this many rows have is hot; so there are at most as many hot keys.
 HOT_SHARE = 1000
 
 
-def lookup(rows: DataFrame, key: str, names: DataFrame, total: int, least: int = 1000) -> DataFrame:
+def lookup(rows: DataFrame, key: str, names: DataFrame, total: int, least: int = 10_000) -> DataFrame:
     """``rows`` left-joined with ``names``, which has one row for each ``key``; ``total`` is the number of rows.
 
     The names of hot keys, those of more than a ``HOT_SHARE``-th of all rows (and ``least``), are broadcast: at
     most ``HOT_SHARE`` rows of them. So the rows of a hot key stay where they are instead of meeting in one task.
     """
+    if total <= least:
+        return rows.join(names, key, "left")
     hot = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > max(total // HOT_SHARE, least)).select(key)
     tagged = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     few = names.join(F.broadcast(hot), key, "left_semi")
@@ -31,23 +33,23 @@ def lookup(rows: DataFrame, key: str, names: DataFrame, total: int, least: int =
     return plain.unionByName(tagged.where("_hot").join(F.broadcast(few), key, "left")).drop("_hot")
 
 
-def connected_components(edges: DataFrame, least: int = 1000) -> DataFrame:
+def connected_components(edges: DataFrame, least: int = 10_000) -> DataFrame:
     """``(node, component)`` of an undirected ``(a, b)`` link table, component being the smallest node.
 
-    Rounds of neighbour minimum and pointer jumping; each round is checkpointed, so that executors may be
+    Rounds of neighbour minimum and pointer jumping; each round is written to the shared folder, so that executors may be
     lost at any time. Minima are combined before they are dealt out, and hubs, nodes or components that many
     links or nodes point at, are looked up in a small broadcast table, so that neither is a hot key.
     """
     edges = edges.where("a is not null and b is not null and a <> b")
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("l")).select("node", F.least("node", "l").alias("component")))
+    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("l")).select("node", F.least("node", "l").alias("component")))
     links, nodes = both.count(), labels.count()
     while True:
         known = labels.select(F.col("node").alias("b"), "component")
         near = lookup(both, "b", known, links, least).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        lowest = cut(labels.join(near, "node").select("node", "component", F.least("component", "m").alias("low")))
+        lowest = stored(labels.join(near, "node").select("node", "component", F.least("component", "m").alias("low")))
         jump = labels.select(F.col("node").alias("low"), F.col("component").alias("up"))
-        stepped = cut(lookup(lowest, "low", jump, nodes, least).select("node", F.least("low", "up").alias("next"), (F.least("low", "up") < F.col("component")).alias("moved")))
+        stepped = stored(lookup(lowest, "low", jump, nodes, least).select("node", F.least("low", "up").alias("next"), (F.least("low", "up") < F.col("component")).alias("moved")))
         labels = stepped.select("node", F.col("next").alias("component"))
         if not stepped.where("moved").limit(1).count():
             return labels

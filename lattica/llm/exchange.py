@@ -67,7 +67,8 @@ def packed_blocks(rows: DataFrame, text_column: str, block_bytes: int = BLOCK_BY
         if waiting:
             yield block()
 
-    return cut(rows.mapInArrow(pack, "block long, bytes long, data binary"))
+    # The packed blocks are dealt out evenly, as an input file may be one scan task.
+    return cut(rows.mapInArrow(pack, "block long, bytes long, data binary").repartition("block"))
 
 
 def unpacked(data: pa.Scalar) -> pa.Table:

@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from lattica.llm.common import connected_components, lookup, trimmed
 from lattica.llm.exchange import BLOCK_BYTES, FAN_OUT, gather, packed_blocks, unpacked, values_of
 from lattica.llm.textkit import mix, row_chunks, shingle_hashes, text_buffers, word_hashes, word_spans
-from lattica.session import cut, stored
+from lattica.session import stored
 
 _U = np.uint64
 #: Leading bits of a shingle's hash that frequencies are counted on; they only order shingles.
@@ -245,27 +245,26 @@ def _peel(members: DataFrame, percent: int, most: int) -> tuple[DataFrame, list[
     similarities, radius = F.pandas_udf(_similarities, "array<double>"), 1 - percent / 100
     turn = 0
     while True:
-        sizes = cut(members.groupBy("component").agg(F.sum("n").alias("s"), F.count("*").alias("c")).where(F.col("s") > most))
+        sizes = stored(members.groupBy("component").agg(F.sum("n").alias("s"), F.count("*").alias("c"), F.min_by("node", F.xxhash64(F.lit(turn), "node")).alias("lead")).where(F.col("s") > most))
         if not sizes.limit(1).count():
             return members, links
         # As many pivots as have a quarter of ``most`` shingles together, on average.
         pieces = F.ceil(F.col("s") / most).cast("int")
         balls = F.greatest(F.lit(1), F.least(F.lit(BALLS), F.floor(most / 4 * F.col("c") / F.col("s")))).cast("int")
-        facts = sizes.select("component", "c", pieces.alias("pieces"), balls.alias("balls"))
-        tagged = cut(lookup(members, "component", facts, members.count()))
+        facts = sizes.select("component", "c", "lead", pieces.alias("pieces"), balls.alias("balls"))
+        tagged = stored(lookup(members, "component", facts, members.count()))
         large = tagged.where("pieces is not null").withColumn("piece", F.pmod(F.xxhash64(F.lit(-1), "node"), F.col("pieces")).cast("int"))
-        picked = large.where(F.pmod(F.xxhash64(F.lit(turn), "node"), F.col("c")) < F.col("balls"))
-        pivots = cut(picked.groupBy("component").agg(F.collect_list("node").alias("pn"), F.collect_list("shingles").alias("ps"), F.first("pieces").alias("pieces")))
+        picked = large.where((F.pmod(F.xxhash64(F.lit(turn), "node"), F.col("c")) < F.col("balls")) | (F.col("node") == F.col("lead")))
+        pivots = stored(picked.groupBy("component").agg(F.collect_list("node").alias("pn"), F.collect_list("shingles").alias("ps"), F.first("pieces").alias("pieces")))
         copies = pivots.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
-        far = cut(large.join(copies, ["component", "piece"]).withColumn("js", similarities("shingles", "ps")).drop("ps"))
+        far = stored(large.join(copies, ["component", "piece"]).withColumn("js", similarities("shingles", "ps")).drop("ps"))
         each = far.select("component", "node", F.explode(F.arrays_zip("pn", "js")).alias("p")).select("component", "node", "p.pn", (F.col("p.js") * 100 >= percent - 1e-9).alias("linked"), "p.js")
         links.append(each.where("linked").select(F.col("node").alias("a"), F.col("pn").alias("b")))
         rims = each.where("not linked").groupBy("component", "pn").agg(F.max("js").alias("rim")).groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("pn", "rim"))).alias("rims"))
         rims = rims.join(pivots.select("component", "pieces"), "component").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
         inner = F.exists(F.arrays_zip("pn", "js"), lambda p: (p["js"] * 100 >= percent - 1e-9) & F.coalesce(p["js"] > F.try_element_at("rims", p["pn"]) + radius + 1e-9, F.lit(True)))
         kept = far.join(rims, ["component", "piece"], "left").where(~inner & ~F.array_contains("pn", F.col("node"))).select("component", "node", "n", "shingles")
-        untried = large.join(pivots.select("component"), "component", "left_anti").select("component", "node", "n", "shingles")
-        members = cut(tagged.where("pieces is null").select("component", "node", "n", "shingles").union(kept).union(untried))
+        members = stored(tagged.where("pieces is null").select("component", "node", "n", "shingles").union(kept))
         turn += 1
 
 
@@ -290,12 +289,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column
     # A set is sent once, however many rows and blocks have it.
     members = rows.where("open").groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")).join(candidates, "node").select("component", "node", "n", "shingles")
     weights = rows.where("open").select("node", "n").distinct().join(candidates, "node").groupBy("component").agg(F.sum("n").alias("s"), F.count("*").alias("c")).where("c > 1")
-    large = cut(weights.where(F.col("s") > region_shingles).select("component"))
+    large = stored(weights.where(F.col("s") > region_shingles).select("component"))
     links: list[DataFrame] = []
     if large.limit(1).count():
-        members = cut(members)
+        members = stored(members)
         rest = members.join(large, "component", "left_anti")
-        parted = cut(_by_key(rows, anchors, met, members.join(large, "component", "left_semi")).select("component", "node", "n", "shingles"))
+        parted = stored(_by_key(rows, anchors, met, members.join(large, "component", "left_semi")).select("component", "node", "n", "shingles"))
         shrunk, links = _peel(parted, percent, region_shingles)
         # Components and shingles are both hashes; the sign of a part tells them apart.
         members = rest.withColumn("part", F.lit(0)).union(shrunk.withColumn("part", F.lit(1)))
@@ -305,11 +304,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column
         labels = connected_components(linked)
     else:
         linked = members.groupBy("component").applyInArrow(lambda t: trimmed(_join_region(t, percent)), "a long, b long")
-        labels = cut(linked).select(F.col("a").alias("node"), F.col("b").alias("component"))
+        labels = stored(linked).select(F.col("a").alias("node"), F.col("b").alias("component"))
 
     ids = rows.select("id", "n", "node")
     lowest = ids.where("node is not null").groupBy("node").agg(F.min("id").alias("copy"))
-    named = cut(lowest.join(labels, "node", "left"))
+    named = stored(lowest.join(labels, "node", "left"))
     low = named.where("component is not null").groupBy("component").agg(F.min("copy").alias("low"))
     names = lookup(named, "component", low, named.count()).select("node", F.coalesce("low", "copy").alias("first"))
     out = lookup(ids, "node", names, ids.count())

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.llm import exchange, jaccard_join, ngram_lm
+from lattica.llm.common import connected_components
 
 DOCS = "doc_id long, text string"
 
@@ -93,3 +94,22 @@ def test_a_copied_set_reaches_its_region_once(spark, monkeypatch, tmp_path):
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, DOCS).repartition(6), block_bytes=4000).collect()
     assert {r["component_id"] for r in got} == {0} and len(got) == 901
     assert seen.read_text().split() == ["2"]
+
+
+def test_components_with_hubs_equal_a_search(spark):
+    draw = random.Random(4)
+    links = [(0, i) for i in range(1, 120)] + [(200 + i, 201 + i) for i in range(40)] + [(draw.randint(300, 380), draw.randint(300, 380)) for _ in range(60)] + [(None, 1), (5, 5)]
+    got = dict(connected_components(spark.createDataFrame(links, "a long, b long"), least=3).collect())
+    near = {}
+    for a, b in links:
+        if a is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    for node in near:
+        seen, waiting = {node}, [node]
+        while waiting:
+            for other in near[waiting.pop()] - seen:
+                seen.add(other)
+                waiting.append(other)
+        assert got[node] == min(seen)
+    assert set(got) == set(near)
