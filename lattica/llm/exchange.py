@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import trimmed
-from lattica.llm.textkit import pack_counts, pack_sorted, row_chunks, text_buffers, unpack_counts, unpack_sorted
-from lattica.session import cut, size_in_bytes
+from lattica.llm.textkit import pack_counts, pack_sorted, row_chunks, text_buffers, unpack_counts, unpack_sorted, word_hashes, word_spans
+from lattica.session import cut, size_in_bytes, stored
 
 _U = np.uint64
 #: Most ranges that a unit's keys are cut into on one level.
 FAN_OUT = 512
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 #: What a unit answers about one order of keys, beside figures of its own.
 Finish = Callable[[list[np.ndarray]], tuple[list[np.ndarray], list[int]]]
 
@@ -57,9 +57,10 @@ def packed_blocks(rows: DataFrame, text_column: str, block_bytes: int = BLOCK_BY
 
         for batch in batches:
             offsets = text_buffers(batch.column(batch.schema.get_field_index(text_column)))[1]
-            for lo, hi in row_chunks(offsets, limit):
+            even = -(-int(offsets[-1]) // max(1, round(int(offsets[-1]) / limit)))  # pieces of about one size
+            for lo, hi in row_chunks(offsets, max(even, 1)):
                 size = int(offsets[hi] - offsets[lo])
-                if waiting and held + size > limit:
+                if waiting and held + size > 5 * limit // 4:
                     yield block()
                     made, held = made + 1, 0
                 waiting.append(batch.slice(lo, hi - lo))
@@ -67,13 +68,21 @@ def packed_blocks(rows: DataFrame, text_column: str, block_bytes: int = BLOCK_BY
         if waiting:
             yield block()
 
-    # The packed blocks are dealt out evenly, as an input file may be one scan task.
-    return cut(rows.mapInArrow(pack, "block long, bytes long, data binary").repartition("block"))
+    return cut(rows.mapInArrow(pack, "block long, bytes long, data binary"))
 
 
-def unpacked(data: pa.Scalar) -> pa.Table:
-    """The rows of one block."""
-    return pa.ipc.open_stream(data.as_buffer()).read_all()
+def unpacked(data: pa.Scalar, text_column: str = "text") -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The rows of one block, the hashes of their words, A-Z lower-cased, and for each row the index of its first
+    word (one more at the end)."""
+    table = pa.ipc.open_stream(data.as_buffer()).read_all()
+    text, offsets = text_buffers(table.column(text_column))
+    hashes, counts = [np.zeros(0, _U)], [np.zeros(1, np.int64)]
+    for lo, hi in row_chunks(offsets):
+        part = text[offsets[lo] : offsets[hi]]
+        starts, ends, first = word_spans(part, offsets[lo : hi + 1] - offsets[lo])
+        hashes.append(word_hashes(part, starts, ends))
+        counts.append(np.diff(first))
+    return table.drop_columns([text_column]), np.concatenate(hashes), np.cumsum(np.concatenate(counts))
 
 
 def levels_for(units: int, fan_out: int = FAN_OUT) -> tuple[int, int]:
@@ -150,14 +159,14 @@ def _joiner(bits: list[int], levels: int, radix: int, level: int) -> Callable[[p
     return join
 
 
-def gather(blocks: DataFrame, keys_of: Callable[[pa.Table], tuple[list[np.ndarray], list[np.ndarray]]], bits: list[int], finish: Finish, fan_out: int = FAN_OUT, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[int]]:
+def gather(blocks: DataFrame, keys_of: Callable[[pa.Table, np.ndarray, np.ndarray], tuple[list[np.ndarray], list[np.ndarray]]], bits: list[int], finish: Finish, fan_out: int = FAN_OUT, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[int]]:
     """Answers ``(block, place, answer)`` for every block and the sums of all units' own figures.
 
-    ``keys_of`` gives a block's sorted distinct keys of each order, of ``bits`` bits, and their counts; ``finish``
+    ``keys_of`` gives, of what ``unpacked`` does, a block's sorted distinct keys of each order, of ``bits`` bits, and their counts; ``finish``
     turns the summed counts of a unit into values for its keys. A block's answers, by place, hold the values of
     its keys one after the other.
     """
-    facts = blocks.agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).first()
+    facts = blocks.agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"), F.count_distinct(F.shiftright("block", 32)).alias("parts")).first()
     wanted = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     units = max(1, -(-(facts["bytes"] or 0) // block_bytes), min(wanted, facts["n"]))
     levels, radix = levels_for(units, fan_out)
@@ -165,14 +174,16 @@ def gather(blocks: DataFrame, keys_of: Callable[[pa.Table], tuple[list[np.ndarra
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, number, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1)):
-                keys, counts = keys_of(unpacked(data))
+                keys, counts = keys_of(*unpacked(data))
                 if rows := _split(keys, counts, bits, 0, number % radix ** (levels - 1), block, radix, 1):
                     yield trimmed(_up_table(rows))
 
     numbered = blocks.select("block", "data", F.pmod(F.xxhash64("block"), F.lit(1 << 62)).alias("number"))
+    if facts["parts"] < min(facts["n"], blocks.sparkSession.sparkContext.defaultParallelism):  # few scan tasks made them all
+        numbered = numbered.repartition("block")
     up = [numbered.mapInArrow(begin, _UP)]
     for level in range(1, levels):
-        up[-1] = cut(up[-1])
+        up[-1] = stored(up[-1])
         up.append(up[-1].groupBy("unit", "team").applyInArrow(_joiner(bits, levels, radix, level), _UP))
 
     def top(table: pa.Table) -> pa.Table:
@@ -180,7 +191,7 @@ def gather(blocks: DataFrame, keys_of: Callable[[pa.Table], tuple[list[np.ndarra
         values, note = finish([m[1] for m in merged])
         return trimmed(_down_table([*_answers(table, radix, values, merged), (-1, -1, -1, [], note)]))
 
-    down = cut(up[-1].groupBy("unit", "team").applyInArrow(top, _DOWN))
+    down = stored(up[-1].groupBy("unit", "team").applyInArrow(top, _DOWN))
     notes = down.where("unit < 0").select(F.posexplode("note")).groupBy("pos").agg(F.sum("col").alias("n")).orderBy("pos").collect()
     down = down.where("unit >= 0")
     for level in range(levels - 1, 0, -1):
@@ -189,7 +200,7 @@ def gather(blocks: DataFrame, keys_of: Callable[[pa.Table], tuple[list[np.ndarra
             merged = [_merge(table, k) for k in range(len(bits))]
             return trimmed(_down_table(_answers(table, radix, values_of(answers, len(bits)), merged)))
 
-        down = cut(up[level - 1].groupBy("unit", "team").cogroup(down.groupBy("unit", "team")).applyInArrow(back, _DOWN))
+        down = stored(up[level - 1].groupBy("unit", "team").cogroup(down.groupBy("unit", "team")).applyInArrow(back, _DOWN))
     return down.select(F.col("team").alias("block"), "place", "answer"), [r["n"] for r in notes]
 
 

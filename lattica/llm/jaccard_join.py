@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lattica.llm.common import connected_components, lookup, trimmed
 from lattica.llm.exchange import BLOCK_BYTES, FAN_OUT, gather, packed_blocks, unpacked, values_of
-from lattica.llm.textkit import mix, row_chunks, shingle_hashes, text_buffers, word_hashes, word_spans
+from lattica.llm.textkit import mix, shingle_hashes
 from lattica.session import stored
 
 _U = np.uint64
@@ -35,25 +35,20 @@ PIVOTS = 4
 BALLS = 32
 
 
-def shingle_sets(column: pa.ChunkedArray, k: int, lower: bool = True) -> list[np.ndarray]:
-    """The sorted distinct ``k``-word shingle hashes of each text; a shorter text is one shingle."""
-    data, offsets = text_buffers(column)
+def shingle_sets(words: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
+    """The sorted distinct ``k``-word shingle hashes of each text, given its words; a shorter text is one shingle."""
+    hashes, begins = shingle_hashes(words, first, k)
     out: list[np.ndarray] = []
-    for lo, hi in row_chunks(offsets):
-        part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        starts, ends, first = word_spans(part, at)
-        words = word_hashes(part, starts, ends, lower)
-        hashes, begins = shingle_hashes(words, first, k)
-        for i in range(hi - lo):
-            own = hashes[begins[i] : begins[i + 1]]
-            if not len(own) and first[i + 1] > first[i]:
-                h = _U(first[i + 1] - first[i])
-                for w in words[first[i] : first[i + 1]]:
-                    h = mix(np.array([h ^ w], _U))[0]
-                out.append(np.array([h], _U))
-                continue
-            own = np.sort(own)
-            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own)
+    for i in range(len(first) - 1):
+        own = hashes[begins[i] : begins[i + 1]]
+        if not len(own) and first[i + 1] > first[i]:
+            h = _U(first[i + 1] - first[i])
+            for w in words[first[i] : first[i + 1]]:
+                h = mix(np.array([h ^ w], _U))[0]
+            out.append(np.array([h], _U))
+            continue
+        own = np.sort(own)
+        out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own)
     return out
 
 
@@ -62,19 +57,19 @@ def set_hash(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s).sum(dtype=_U) + _U(len(s))], _U)).view(np.int64)[0])
 
 
-def _own_sets(table: pa.Table, k: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _own_sets(words: np.ndarray, first: np.ndarray, k: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Sets, their hashes and whether a row is the first of its block with this set."""
-    sets = shingle_sets(table.column("text"), k)
+    sets = shingle_sets(words, first, k)
     nodes = np.array([set_hash(s) for s in sets], np.int64)
-    first = np.zeros(len(sets), bool)
-    first[np.unique(nodes, return_index=True)[1]] = True
-    return sets, nodes, first & np.array([len(s) > 0 for s in sets], bool)
+    once = np.zeros(len(sets), bool)
+    once[np.unique(nodes, return_index=True)[1]] = True
+    return sets, nodes, once & np.array([len(s) > 0 for s in sets], bool)
 
 
-def _count_block(table: pa.Table, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _count_block(words: np.ndarray, first: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The shingles of a block's distinct sets, and how many of these sets have each."""
-    sets, _, first = _own_sets(table, k)
-    own = [s >> _U(64 - BITS) for s, f in zip(sets, first) if f]
+    sets, _, once = _own_sets(words, first, k)
+    own = [s >> _U(64 - BITS) for s, f in zip(sets, once) if f]
     keys, counts = np.unique(np.concatenate(own) if own else np.zeros(0, _U), return_counts=True)
     return [keys], [counts]
 
@@ -86,8 +81,8 @@ def _levels(totals: list[np.ndarray]) -> tuple[list[np.ndarray], list[int]]:
 
 def _windows(left: pa.Table, right: pa.Table, k: int, percent: int, kind: pa.DataType) -> pa.Table:
     """A row per document; where its window has shared shingles, these and the whole set."""
-    table = unpacked(left.column("data")[0])
-    sets, nodes, first = _own_sets(table, k)
+    table, words, begins = unpacked(left.column("data")[0])
+    sets, nodes, first = _own_sets(words, begins, k)
     own = [s >> _U(64 - BITS) if f else np.zeros(0, _U) for s, f in zip(sets, first)]
     _, at = np.unique(np.concatenate(own) if own else np.zeros(0, _U), return_inverse=True)
     levels = values_of(right, 1)[0].astype(np.uint8)
@@ -279,7 +274,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column
     kind = source.schema["id"].dataType
     arrow = to_arrow_type(kind)
     blocks = packed_blocks(source, "text", block_bytes)
-    levels, _ = gather(blocks, lambda t: _count_block(t, k), [BITS], _levels, fan_out, block_bytes)
+    levels, _ = gather(blocks, lambda _, words, first: _count_block(words, first, k), [BITS], _levels, fan_out, block_bytes)
     joined = blocks.select("block", "data").groupBy("block").cogroup(levels.groupBy("block"))
     rows = stored(joined.applyInArrow(lambda t, levels: trimmed(_windows(t, levels, k, percent, arrow)), f"id {kind.simpleString()}, n long, node long, open boolean, keys array<long>, shingles binary"))
 

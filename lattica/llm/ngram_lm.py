@@ -1,6 +1,6 @@
 """LM scoring: an n-gram model counted over all training documents, held in Elias-Fano tries.
 
-Rows are packed into blocks where they are scanned. Each block states its distinct n-grams, as hashes of 60
+Rows are packed into blocks where they are scanned. Each block states its distinct n-grams, as hashes of 56
 bits whatever the size of the corpus, and is told their counts in all training documents; the exchange has
 bounded fan-out. A block then builds the trie of the n-grams of the corpus that it can meet: memory-mapped
 levels of monotone pointers, words and quantised smoothed probabilities. Every token of its texts walks this
@@ -25,12 +25,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lattica.llm.common import trimmed
 from lattica.llm.exchange import BLOCK_BYTES, FAN_OUT, gather, packed_blocks, unpacked, values_of
-from lattica.llm.textkit import mix, row_chunks, text_buffers, word_hashes, word_spans
+from lattica.llm.textkit import mix
 
 _U = np.uint64
 START, END = _U(0xA5A5A5A5A5A5A5A5), _U(0x5A5A5A5A5A5A5A5A)
-#: Bits of an n-gram's hash.
-BITS = 60
+#: Bits of an n-gram's hash; among 10^13 n-grams one in 7 000 unknown ones is taken for another.
+BITS = 56
 #: Steps of a log10 probability in the quantised levels.
 STEP = 1 / 4096
 _NTH = np.full((256, 8), 255, np.uint8)
@@ -178,23 +178,16 @@ def mapped(array: np.ndarray) -> np.ndarray:
 class Grams:
     """Tokens and n-grams of some texts; order k of token i ends with it and may begin with the start mark."""
 
-    def __init__(self, column: pa.ChunkedArray, order: int):
-        data, offsets = text_buffers(column)
-        rows, hashes, counts = len(offsets) - 1, [np.zeros(0, _U)], [np.zeros(0, np.int64)]
-        for lo, hi in row_chunks(offsets):
-            part = data[offsets[lo] : offsets[hi]]
-            starts, ends, first = word_spans(part, offsets[lo : hi + 1] - offsets[lo])
-            hashes.append(word_hashes(part, starts, ends))
-            counts.append(np.diff(first))
-        self.counts = np.concatenate(counts) + 1
+    def __init__(self, words: np.ndarray, first: np.ndarray, order: int):
+        self.counts = np.diff(first) + 1
         self.begins = np.concatenate([[0], np.cumsum(self.counts)])
         self.tokens = np.empty(self.begins[-1], _U)
         last = self.begins[1:] - 1
         inner = np.ones(self.begins[-1], bool)
         inner[last] = False
-        self.tokens[inner], self.tokens[last] = np.concatenate(hashes), END
+        self.tokens[inner], self.tokens[last] = words, END
         place = np.arange(self.begins[-1]) - np.repeat(self.begins[:-1], self.counts)
-        self.rows = rows
+        self.rows = len(self.counts)
         #: For each order: the keys of tokens that have one; tokens with a long enough context.
         self.has = [place + 2 >= k for k in range(1, order + 1)]
         self.keys = []
@@ -207,9 +200,9 @@ class Grams:
             self.keys.append(h >> _U(64 - BITS))
 
 
-def _count_block(table: pa.Table, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _count_block(table: pa.Table, words: np.ndarray, first: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """A block's distinct n-grams of each order and how often its training texts have them."""
-    grams = Grams(table.column("text"), order)
+    grams = Grams(words, first, order)
     train = np.repeat(np.array(table.column("train").to_pylist(), bool), grams.counts)
     found, times = [], []
     for has, keys in zip(grams.has, grams.keys):
@@ -225,8 +218,8 @@ def _totals(totals: list[np.ndarray]) -> tuple[list[np.ndarray], list[int]]:
 
 
 def _score_block(left: pa.Table, right: pa.Table, order: int, tokens: int, types: int, weight: float, kind: pa.DataType) -> pa.Table:
-    table = unpacked(left.column("data")[0])
-    grams = Grams(table.column("text"), order)
+    table, words, first = unpacked(left.column("data")[0])
+    grams = Grams(words, first, order)
     counts = [c.astype(np.int64) for c in values_of(right, order)]
     total = tokens + types + 1
     # Order 1: the ids of the block's words, START being one more.
@@ -279,7 +272,7 @@ def score_texts(docs: DataFrame, held_out, id_column: str = "doc_id", text_colum
     kind = source.schema["id"].dataType
     arrow = to_arrow_type(kind)
     blocks = packed_blocks(source, "text", block_bytes)
-    answers, notes = gather(blocks, lambda t: _count_block(t, order), [BITS] * order, _totals, fan_out, block_bytes)
+    answers, notes = gather(blocks, lambda table, words, first: _count_block(table, words, first, order), [BITS] * order, _totals, fan_out, block_bytes)
     tokens, types = notes or (0, 0)
     joined = blocks.select("block", "data").groupBy("block").cogroup(answers.groupBy("block"))
     scored = joined.applyInArrow(lambda t, a: trimmed(_score_block(t, a, order, tokens, types, weight, arrow)), f"id {kind.simpleString()}, train boolean, n_tokens long, n_known long, base_score double, score double")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import exchange, jaccard_join, ngram_lm
+from lattica.llm import exchange, jaccard_join, ngram_lm, textkit
 from lattica.llm.common import connected_components
 
 DOCS = "doc_id long, text string"
@@ -23,9 +23,13 @@ def frame(spark, n, seed=3):
 def test_blocks_hold_every_row_once(spark):
     rows = [(i % 7, None if i % 11 == 0 else "w " * (i % 50)) for i in range(900)] + [(None, "x" * 5000), (None, "")]
     blocks = exchange.packed_blocks(spark.createDataFrame(rows, DOCS).repartition(3), "text", 1000, least_bytes=1000)
-    got = [r for b in blocks.collect() for r in zip(*exchange.unpacked(pa.scalar(bytes(b["data"]), pa.binary())).to_pydict().values())]
-    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
-    assert sorted(got, key=key) == sorted(rows, key=key)
+    got = []
+    for b in blocks.collect():
+        table, words, first = exchange.unpacked(pa.scalar(bytes(b["data"]), pa.binary()))
+        assert len(words) == first[-1] and table.num_rows == len(first) - 1
+        got += zip(table.column("doc_id").to_pylist(), np.diff(first).tolist())
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(got, key=key) == sorted(((i, len((t or "").split())) for i, t in rows), key=key)
     assert blocks.select("block").distinct().count() == blocks.count() > 20
     assert blocks.agg(F.max("bytes")).first()[0] == 5000 and exchange.packed_blocks(spark.createDataFrame([], DOCS), "text").count() == 0
 
@@ -34,12 +38,12 @@ def test_blocks_hold_every_row_once(spark):
 def test_any_fan_out_sums_the_keys_of_all_blocks(spark, fan_out):
     blocks = exchange.packed_blocks(frame(spark, 400).repartition(4), "text", 600, least_bytes=600)
 
-    def keys_of(table):
-        values = np.array([hash_of(w) for t in table.column("text").to_pylist() for w in t.split()], np.uint64)
-        return [list(x) for x in zip(np.unique(values, return_counts=True))]
+    def keys_of(_, words, first):
+        return [list(x) for x in zip(np.unique(words >> np.uint64(4), return_counts=True))]
 
     def hash_of(word):
-        return int.from_bytes(word.encode().ljust(8, b"."), "big") >> 4
+        data = np.frombuffer(word.encode(), np.uint8)
+        return int(textkit.word_hashes(data, np.array([0]), np.array([len(data)]))[0]) >> 4
 
     answers, notes = exchange.gather(blocks, keys_of, [60], lambda t: ([t[0]], [int(t[0].sum())]), fan_out, 600)
     words = frame(spark, 400).select(F.explode(F.split("text", " ")).alias("w")).where("w <> ''").groupBy("w").count().collect()
@@ -49,7 +53,7 @@ def test_any_fan_out_sums_the_keys_of_all_blocks(spark, fan_out):
     rows = answers.collect()
     assert {r["block"] for r in rows} == set(own)
     for block, data in own.items():
-        keys = keys_of(exchange.unpacked(pa.scalar(bytes(data), pa.binary())))[0][0]
+        keys = keys_of(*exchange.unpacked(pa.scalar(bytes(data), pa.binary())))[0][0]
         mine = [r for r in rows if r["block"] == block]
         assert len(mine) <= fan_out
         told = exchange.values_of(pa.table({"place": [r["place"] for r in mine], "answer": pa.array([[bytes(a) for a in r["answer"]] for r in mine], pa.list_(pa.binary()))}), 1)[0]
