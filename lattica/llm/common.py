@@ -93,10 +93,14 @@ def field(rows: pa.StructArray, name: str) -> pa.Array:
 
 
 def bounded_sample(df: DataFrame, id_column: str, rows: int) -> DataFrame:
-    """The ``rows`` rows of smallest hash of the id; a fit on them is the same in every run.
+    """At most ``rows`` rows: those of the ids of smallest hash, one an id; a fit on them is the same in every run."""
+    ids = df.select(id_column).where(F.col(id_column).isNotNull()).distinct()
+    chosen = ids.orderBy(F.xxhash64(id_column), id_column).limit(rows)
+    return one_row_each(df.join(F.broadcast(chosen), id_column, "left_semi"), id_column)
 
-    The bound is on rows: rows that share an id count each, ties go by the hash of all columns, and what is
-    then equal in all of them is the same whichever row stays.
-    """
-    whole = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
-    return df.orderBy(F.xxhash64(id_column), id_column, whole).limit(rows)
+
+def one_row_each(df: DataFrame, id_column: str) -> DataFrame:
+    """Of rows that share an id the one of smallest hash over all columns, then the smallest."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    least = df.groupBy(id_column).agg(F.min(F.struct(F.xxhash64(*columns).alias("h"), F.struct(*columns).alias("row"))).alias("least"))
+    return least.select("least.row.*")

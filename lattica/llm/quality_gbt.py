@@ -3,7 +3,8 @@
 Statistics cover whole texts. The trees are fitted on a bounded sample of labelled rows (``fit_rows``, those
 of smallest hash), with second-order gradients over quantile bins and monotonic constraints, and flattened
 into numpy node arrays for scoring. Null and empty texts have no words and fail the fixed rules. Without
-labels of both classes every document that the fixed rules pass is kept. Repeated rows are judged alike.
+labels of both classes every document that the fixed rules pass is kept. Repeated rows are judged alike; an empty table
+gives no rows; the input stays inside ``row``, so its names clash with nothing.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import bounded_sample, field, map_rows
+from lattica.llm.common import field, map_rows, one_row_each
 from lattica.llm.textkit import row_chunks, shingle_hashes, text_buffers, word_hashes, word_spans
 
 WINDOW = 5
@@ -151,9 +152,11 @@ def fit_trees(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = 60, d
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, id_column: str = "doc_id", text_column: str = "text") -> Trees:
-    """Trees fitted on at most ``fit_rows`` labelled documents."""
-    chosen = bounded_sample(labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality")), "id", fit_rows)
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(chosen), "id")
+    """Trees fitted on at most ``fit_rows`` labelled documents, one row an id, a label of 1 before one of 0."""
+    best = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
+    chosen = F.broadcast(best.orderBy(F.xxhash64("id"), "id").limit(fit_rows))
+    own = one_row_each(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(chosen, "id", "left_semi"), "id")
+    rows = own.join(chosen, "id")
 
     def make(r: pa.StructArray) -> dict:
         return {"f": pa.array(list(statistics(field(r, "text"))[1]), pa.list_(pa.float64()))}

@@ -2,8 +2,9 @@
 
 The field tags white-space separated tokens as begin, inside or outside of a secret from their shape, the
 neighbouring tokens and the file, and is decoded by Viterbi. It is fitted on a bounded sample of documents
-(``fit_rows``, those of smallest hash) labelled by the patterns, mixed with phrases made from a seed. Texts
-of which no token can score above "outside" are not decoded, as their best path is known. Whole texts are
+(``fit_rows``, one row an id, those of smallest hash) labelled by the patterns, of each the stretches around its
+first ``matches`` pattern matches and one from its middle, mixed with phrases made from a seed; stretches and
+phrases have at most ``SNIPPET`` tokens. Texts of which no token can score above "outside" are not decoded, as their best path is known. Whole texts are
 scanned; null and empty texts have no spans; repeated rows are scanned alike.
 """
 
@@ -220,8 +221,9 @@ def crf_spans(model: Field, table: _Words, text: str, data: bytes) -> list[Span]
 SNIPPET = 16
 
 
-def snippets(text: str, most: int = 3) -> list[tuple[list[bytes], list[int], str]]:
-    """Tokens, tags and file feature around pattern matches of a text, and one stretch from its middle."""
+def snippets(text: str, matches: int = 3) -> list[tuple[list[bytes], list[int], str]]:
+    """Tokens, tags and file feature around the first ``matches`` pattern matches of a text, and one stretch from its
+    middle; the bound keeps a long list of keys from being most of what is learned."""
     places = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
     if not places:
         return []
@@ -236,7 +238,7 @@ def snippets(text: str, most: int = 3) -> list[tuple[list[bytes], list[int], str
         centres += inside[:1]
     name = file_feature(words)
     out = []
-    for c in [*centres[:most], len(words) // 2]:
+    for c in [*centres[:matches], len(words) // 2]:
         lo = max(0, c - SNIPPET // 2)
         out.append((words[lo : lo + SNIPPET], tags[lo : lo + SNIPPET], name))
     return out
@@ -320,14 +322,13 @@ def fit_field(data: list[tuple[list[bytes], list[int], str]], rounds: int = 60,
     return Field(weights, moves, lexicon)
 
 
-def fit_secrets(docs: DataFrame, fit_rows: int = 3_000, made: int = 600, id_column: str = "doc_id", text_column: str = "text") -> Field:
-    """A field fitted on at most ``fit_rows`` documents and ``made`` made phrases."""
-    chosen = bounded_sample(docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id")).distinct(), "id", fit_rows)
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(chosen), "id")
+def fit_secrets(docs: DataFrame, fit_rows: int = 3_000, made: int = 600, matches: int = 3, id_column: str = "doc_id", text_column: str = "text") -> Field:
+    """A field fitted on at most ``fit_rows`` documents, ``matches`` pattern matches of each, and ``made`` phrases."""
+    rows = bounded_sample(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), "id", fit_rows)
     kind = pa.list_(pa.struct([("words", pa.list_(pa.binary())), ("tags", pa.list_(pa.int32())), ("name", pa.string())]))
 
     def cut(r: pa.StructArray) -> dict:
-        return {"s": pa.array([[{"words": w, "tags": t, "name": n} for w, t, n in snippets(x or "")] for x in field(r, "text").to_pylist()], kind)}
+        return {"s": pa.array([[{"words": w, "tags": t, "name": n} for w, t, n in snippets(x or "", matches)] for x in field(r, "text").to_pylist()], kind)}
 
     got = map_rows(rows, cut, "s array<struct<words:array<binary>,tags:array<int>,name:string>>").select("row.id", "s").collect()
     real = sorted((r["id"], [bytes(w) for w in s["words"]], list(s["tags"]), s["name"]) for r in got for s in r["s"])
