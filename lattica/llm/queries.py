@@ -18,7 +18,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_trust.judge_pages(table(spark, sf_dir, "pages"), linked_only=True).select("row.page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
+    return url_trust.judge_pages(table(spark, sf_dir, "pages")).select("row.page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,8 +120,8 @@ ORACLE_SQL: dict[str, str] = {
                    CASE WHEN contains(url, '://') THEN regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') ELSE '' END AS path FROM pages),
         f AS (SELECT page_id, host, path, CASE {_FITS} END AS rule FROM p),
         l AS (SELECT DISTINCT src, dst FROM (SELECT host AS src, {_LOWER_SQL.format("unnest(" + _HREFS + ")")} AS dst FROM p) WHERE src <> '' AND dst <> '' AND src <> dst),
-        k AS (SELECT src AS host FROM l UNION SELECT dst FROM l),
-        v AS (SELECT host, CASE rule {_VERDICTS} END AS verdict, CAST(count(*) AS DOUBLE) AS n FROM f SEMI JOIN k USING (host) WHERE rule IS NOT NULL GROUP BY 1, 2),
+        k AS (SELECT src AS host FROM l UNION SELECT dst FROM l UNION SELECT host FROM p WHERE host <> ''),
+        v AS (SELECT host, CASE rule {_VERDICTS} END AS verdict, CAST(count(*) AS DOUBLE) AS n FROM f WHERE rule IS NOT NULL GROUP BY 1, 2),
         va AS (SELECT * FROM v WHERE verdict = 'allow'), vb AS (SELECT * FROM v WHERE verdict = 'block'), lb AS (SELECT dst AS src, src AS dst FROM l),
         {_rank_sql("good", "va", "l")}, {_rank_sql("bad", "vb", "lb")},
         h AS (SELECT host, coalesce(g.score, 0) AS trust, coalesce(b.score, 0) AS distrust FROM good g FULL JOIN bad b USING (host)),
