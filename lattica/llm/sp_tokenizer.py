@@ -2,7 +2,9 @@
 
 The model's protobuf is parsed here; normaliser, white-space marker, scores or merges and byte fallback are
 rebuilt, and parity with the original library is verified on probes whenever a model is loaded. Batches are
-encoded by several threads. Null and empty texts have no tokens; repeated rows are encoded alike.
+encoded by several threads. Null and empty texts have no tokens; very long texts are encoded whole;
+repeated rows are encoded alike; an empty table gives no rows; the input stays inside ``row``, so its names clash
+with nothing. Decoding gives null for null ids, the empty text for none, and an error for ids outside the model.
 """
 
 from __future__ import annotations
@@ -193,19 +195,28 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encode_texts(docs: DataFrame, model_path: str, text_column: str = "text", columns: list[str] | None = None, with_ids: bool = False) -> DataFrame:
-    """``row`` with n_tokens, n_bytes (tokens of the byte fallback), ids_sha256 (of little-endian 32-bit ids),
-    exact (decoding gives the text back) and, if asked for, ids. The model file is read on the driver."""
+def _model(df: DataFrame, model_path: str):
+    """The model file's name and content, read and verified on the driver and sent to the workers."""
     with open(model_path, "rb") as file:
         data = file.read()
     Encoder(data, verify=True)
-    name = hashlib.sha256(data).hexdigest()
-    shipped = docs.sparkSession.sparkContext.broadcast(data)
+    return hashlib.sha256(data).hexdigest(), df.sparkSession.sparkContext.broadcast(data)
+
+
+def _encoder(name: str, shipped) -> Encoder:
+    """The encoder of one model, built once a worker."""
+    if name not in _encoders:
+        _encoders[name] = Encoder(shipped.value)
+    return _encoders[name]
+
+
+def encode_texts(docs: DataFrame, model_path: str, text_column: str = "text", columns: list[str] | None = None, with_ids: bool = False) -> DataFrame:
+    """``row`` with n_tokens, n_bytes (tokens of the byte fallback), ids_sha256 (of little-endian 32-bit ids),
+    exact (decoding gives the text back) and, if asked for, ids. The model file is read on the driver."""
+    name, shipped = _model(docs, model_path)
 
     def encode(rows: pa.StructArray) -> dict:
-        if name not in _encoders:
-            _encoders[name] = Encoder(shipped.value)
-        own = _encoders[name]
+        own = _encoder(name, shipped)
         texts = [t or "" for t in field(rows, text_column).to_pylist()]
         checked = own.encode_checked(texts)
         ids = [np.frombuffer(i, "<i4") for i, _ in checked]
@@ -218,3 +229,18 @@ def encode_texts(docs: DataFrame, model_path: str, text_column: str = "text", co
         return out | ({"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {})
 
     return map_rows(docs, encode, "n_tokens long, n_bytes long, ids_sha256 string, exact boolean" + (", ids array<int>" if with_ids else ""), columns, most_bytes=1 << 19)
+
+
+def decode_ids(encoded: DataFrame, model_path: str, ids_column: str = "ids", columns: list[str] | None = None) -> DataFrame:
+    """``row`` with decoded: the text of each row's ids, by the same backend."""
+    name, shipped = _model(encoded, model_path)
+
+    def decode(rows: pa.StructArray) -> dict:
+        ids = field(rows, ids_column).to_pylist()
+        own = _encoder(name, shipped)
+        if any(i is None or not 0 <= i < len(own.pieces) for row in ids for i in row or ()):
+            raise ValueError("an id outside the model")
+        texts = own.decode([np.array(row or [], np.int64) for row in ids])
+        return {"decoded": pa.array([None if row is None else text for row, text in zip(ids, texts)], pa.string())}
+
+    return map_rows(encoded, decode, "decoded string", columns, most_bytes=1 << 19)
