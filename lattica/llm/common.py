@@ -77,6 +77,11 @@ def map_rows(df: DataFrame, function: Callable[[pa.StructArray], dict], ddl: str
     return source.mapInArrow(run, T.StructType([source.schema["row"], *T.StructType.fromDDL(ddl).fields]))
 
 
+def with_id(kind: T.DataType, ddl: str) -> T.StructType:
+    """The columns of ``ddl`` behind an ``id`` of the given type."""
+    return T.StructType([T.StructField("id", kind), *T.StructType.fromDDL(ddl).fields])
+
+
 def trimmed(result):
     """Pass a result on after giving freed memory back to the system, as workers are reused for other operators."""
     pa.default_memory_pool().release_unused()

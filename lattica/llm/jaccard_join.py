@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lattica.llm.common import connected_components, lookup, trimmed
+from lattica.llm.common import connected_components, lookup, trimmed, with_id
 from lattica.llm.exchange import BLOCK_BYTES, FAN_OUT, gather, packed_blocks, unpacked, values_of
 from lattica.llm.textkit import mix, shingle_hashes
 from lattica.session import stored
@@ -276,7 +276,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column
     blocks = packed_blocks(source, "text", block_bytes)
     levels, _ = gather(blocks, lambda _, words, first: _count_block(words, first, k), [BITS], _levels, fan_out, block_bytes)
     joined = blocks.select("block", "data").groupBy("block").cogroup(levels.groupBy("block"))
-    rows = stored(joined.applyInArrow(lambda t, levels: trimmed(_windows(t, levels, k, percent, arrow)), f"id {kind.simpleString()}, n long, node long, open boolean, keys array<long>, shingles binary"))
+    rows = stored(joined.applyInArrow(lambda t, levels: trimmed(_windows(t, levels, k, percent, arrow)), with_id(kind, "n long, node long, open boolean, keys array<long>, shingles binary")))
 
     anchors = rows.where("open").select("node", F.explode("keys").alias("key")).distinct()
     met = anchors.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")

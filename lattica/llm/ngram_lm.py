@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lattica.llm.common import trimmed
+from lattica.llm.common import trimmed, with_id
 from lattica.llm.exchange import BLOCK_BYTES, FAN_OUT, gather, packed_blocks, unpacked, values_of
 from lattica.llm.textkit import mix
 
@@ -275,5 +275,5 @@ def score_texts(docs: DataFrame, held_out, id_column: str = "doc_id", text_colum
     answers, notes = gather(blocks, lambda table, words, first: _count_block(table, words, first, order), [BITS] * order, _totals, fan_out, block_bytes)
     tokens, types = notes or (0, 0)
     joined = blocks.select("block", "data").groupBy("block").cogroup(answers.groupBy("block"))
-    scored = joined.applyInArrow(lambda t, a: trimmed(_score_block(t, a, order, tokens, types, weight, arrow)), f"id {kind.simpleString()}, train boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = joined.applyInArrow(lambda t, a: trimmed(_score_block(t, a, order, tokens, types, weight, arrow)), with_id(kind, "train boolean, n_tokens long, n_known long, base_score double, score double"))
     return scored.select(F.col("id").alias(id_column), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
