@@ -2,8 +2,10 @@
 
 Quality rules reject documents; of each group of near copies the one of smallest id stays; contaminated
 documents go; secrets are redacted; what is left is encoded. All stages but the last return the columns of
-documents. Documents without an id pass the near-copy stage as they are; null texts have no words and are
-rejected by the first stage.
+documents. Null texts have no words and are rejected by the first stage. Rows that share an id are judged each by
+itself; documents without an id stay only where no other of their group has one; of rows that tie in every column
+one stays. Very long texts are judged whole; empty tables give empty tables; further columns are carried along,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +27,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_components(docs, k=5, percent=80)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """Decided row by row: rows are told apart by their id, rows without one last, and a hash of all columns; of
+    rows equal in every column one stays."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.xxhash64(*columns).alias("h"))
+    rows = docs.select(F.struct(*columns).alias("row"), key.alias("key"), F.col("text"))
+    groups = jaccard_components(rows, k=5, percent=80, id_column="key")
+    stay = groups.where("key = component_id").select("key").distinct()
+    return rows.join(stay, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
