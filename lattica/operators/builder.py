@@ -135,6 +135,10 @@ class Query:
         return self.limit(size).offset((number - 1) * size)
 
     def build(self) -> DataFrame:
+        if self.kept and not (self.keys or self.sums):
+            raise ValueError("having needs a group or an aggregate")
+        if self.columns and self.sums and not set(self.columns) <= set(self.keys):
+            raise ValueError("beside aggregates only grouped columns can be selected")
         df = self.source.where(P.flat(list(self.terms))) if self.terms else self.source
         if self.keys or self.sums:
             df = df.groupBy(*self.keys).agg(*(self.sums or (F.count("*").alias("count"),)))

@@ -31,8 +31,15 @@ def by_content(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame
 
 
 def similar_titles(df: DataFrame, id_column: str, title: str, threshold: float = 0.85) -> DataFrame:
-    """Pairs (a, b) of similar titles, a first: blocked by key length, as similar keys differ little in length."""
+    """Pairs (a, b) of similar titles, a first.
+
+    An edit changes two letter pairs at most, so similar keys share one among the rarest few of each, more of them
+    the longer the key; keys meet on these. At thresholds of 2/3 and less that is no bound, and keys meet in bands
+    of their length.
+    """
     rows = df.select(F.col(id_column).alias("id"), title_key(title, True).alias("k")).where("k <> ''")
+    if threshold > 2 / 3:
+        return _by_letter_pairs(rows, threshold)
     rows = rows.withColumn("n", F.length("k"))
     width = F.log("n") / F.log(F.lit(1 / threshold))
     a = rows.withColumn("band", F.floor(width).cast("long"))
@@ -43,6 +50,25 @@ def similar_titles(df: DataFrame, id_column: str, title: str, threshold: float =
     return x.join(y, fits).where(1 - close / F.greatest("x.n", "y.n") >= threshold).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
+def _by_letter_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    padded = F.concat(F.lit("\u0001"), "k", F.lit("\u0001"))
+    pairs = rows.select("id", F.length("k").alias("n"), F.posexplode(F.transform(F.sequence(F.lit(1), F.length("k") + 1), lambda i: F.substr(padded, i, F.lit(2)))).alias("at", "pair"))
+    # The second "an" of a key is another pair than the first.
+    told = pairs.withColumn("pair", F.concat("pair", F.row_number().over(Window.partitionBy("id", "pair").orderBy("at")).cast("string")))
+    ranked = told.join(told.groupBy("pair").agg(F.count("*").alias("f")), "pair")
+    edits = F.floor((1 - threshold) * F.floor(F.col("n") / threshold + 1e-9) + 1e-9)
+    place = F.row_number().over(Window.partitionBy("id").orderBy("f", "pair"))
+    keys = ranked.select("id", "pair", (place <= 2 * edits + 1).alias("rare")).where("rare").select("id", "pair")
+    met = keys.alias("x").join(keys.alias("y"), (F.col("x.pair") == F.col("y.pair")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    named = met.join(rows.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(rows.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
+    return named.where(1 - F.levenshtein("ka", "kb") / F.greatest(F.length("ka"), F.length("kb")) >= threshold).select("a", "b")
+
+
+def combined(df: DataFrame, title: str, columns: list[str], order: list[str]) -> DataFrame:
+    """The first record of each title key, then of each content hash among these."""
+    return by_content(first_by(df.withColumn("_key", title_key(title)), ["_key"], order).drop("_key"), columns, order)
+
+
 def fuzzy(df: DataFrame, id_column: str, title: str, threshold: float = 0.85) -> DataFrame:
     """(id, kept): greedy in order of id, a record joins the first kept one that is similar enough."""
     pairs = similar_titles(df, id_column, title, threshold)
@@ -73,6 +99,7 @@ def import_rows(df: DataFrame, title: str, content: str, order: list[str]) -> tu
     return by_title(clean, title, order, content), checked.where("reason is not null")
 
 
-def keep_by_date(df: DataFrame, keys: list[str], created: str, newest: bool = True) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc(created) if newest else F.asc(created))
+def keep_by_date(df: DataFrame, keys: list[str], created: str, newest: bool = True, ties: list[str] = ()) -> DataFrame:
+    """The newest or oldest record of each key, equal dates by ``ties`` and then by all columns."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(created) if newest else F.asc(created), *(ties or ()), F.xxhash64(*df.columns))
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

@@ -12,18 +12,20 @@ from lattica.functions.text import tokens
 K1, B, TITLE = 1.2, 0.75, 2.0
 
 
-def postings(docs: DataFrame, doc_id: str, title: str, content: str) -> DataFrame:
-    """(doc, field, term, tf, len) with len counting both fields' tokens; the index to write, partitioned by term."""
+def postings(docs: DataFrame, doc_id: str, title: str, content: str, terms: list[str] | None = None) -> DataFrame:
+    """(doc, field, term, tf, len) with len counting both fields' tokens; the index to write, partitioned by term.
+    With ``terms`` only their postings, the others' tokens being dropped before any row is made of them."""
     both = docs.select(F.col(doc_id).alias("doc"), tokens(title).alias("t"), tokens(content).alias("c"))
     size = (F.size("t") + F.size("c")).alias("len")
-    rows = both.select("doc", size, F.lit("title").alias("field"), F.explode("t").alias("term")).union(both.select("doc", size, F.lit("content"), F.explode("c")))
+    asked = (lambda c: F.filter(c, lambda w: w.isin(*terms))) if terms is not None else F.col
+    rows = both.select("doc", size, F.lit("title").alias("field"), F.explode(asked("t")).alias("term")).union(both.select("doc", size, F.lit("content"), F.explode(asked("c"))))
     return rows.groupBy("doc", "field", "term", "len").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, query: list[str], doc_id: str, title: str, content: str, limit: int = 10, min_score: float = 0.0) -> DataFrame:
     """(doc, score); a term's document frequency counts its (doc, field) postings, repeated query terms count
     as often as they occur, title hits twice."""
-    index = postings(docs, doc_id, title, content)
+    index = postings(docs, doc_id, title, content, sorted(set(query)))
     sizes = docs.select((F.size(tokens(title)) + F.size(tokens(content))).alias("len")).agg(F.count("*").alias("N"), F.avg("len").alias("avg"))
     asked = docs.sparkSession.createDataFrame([(t, query.count(t)) for t in sorted(set(query))], "term string, times long")
     hit = index.join(F.broadcast(asked), "term")  # the query's terms

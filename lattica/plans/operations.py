@@ -42,7 +42,7 @@ _PCT = f"WITH {_BK}, p AS (SELECT *, coalesce(lag(le) OVER w, 0) AS pb, coalesce
 
 def _limit_sql(start, allowed, after):
     """Sequential rate limit as a recursive query over numbered requests."""
-    return f"WITH RECURSIVE r AS (SELECT event_id, user_id, ms, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS i FROM {_E} WHERE user_id < 12), f AS ({start} UNION ALL SELECT r.event_id, r.user_id, r.i, r.ms, {after}, {allowed} FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i + 1) SELECT event_id, allowed FROM f"
+    return f"WITH RECURSIVE r AS (SELECT event_id, user_id, ms, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS i FROM {_E}), f AS ({start} UNION ALL SELECT r.event_id, r.user_id, r.i, r.ms, {after}, {allowed} FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i + 1) SELECT event_id, allowed FROM f"
 
 
 QUERIES = {
@@ -68,7 +68,7 @@ QUERIES = {
     "crdt_or_sets": (lambda s, d: H.merge_or_sets(_log(s, d), _log(s, d).where("type = 'error'"), "aggregate", "sequence"), "SELECT user_id AS aggregate, count(*) AS tags FROM events WHERE event_type <> 'error' GROUP BY 1"),
     "crdt_clocks": (lambda s, d: T(s, d, "nation").select("n_nationkey", H.compare_clocks(F.create_map(F.lit("a"), F.col("n_regionkey"), F.lit("b"), F.lit(2)), F.create_map(F.lit("a"), F.lit(2), F.lit("b"), F.col("n_nationkey") % 4)).alias("c"), H.merge_clocks(F.create_map(F.lit("a"), F.col("n_regionkey")), F.create_map(F.lit("a"), F.lit(2)))["a"].alias("m")), "SELECT n_nationkey, CASE WHEN (n_regionkey < 2 OR 2 < n_nationkey % 4) AND (n_regionkey > 2 OR 2 > n_nationkey % 4) THEN 'concurrent' WHEN n_regionkey < 2 OR 2 < n_nationkey % 4 THEN 'before' WHEN n_regionkey > 2 OR 2 > n_nationkey % 4 THEN 'after' ELSE 'equal' END AS c, greatest(n_regionkey, 2) AS m FROM nation"),
     "audit_alerts": (lambda s, d: H.audit_alerts(_ev(s, d).where("event_type = 'error'"), ["user_id"], "ms", 172_800_000, 3), None),
-    "backup_retention": (lambda s, d: H.retained(T(s, d, "orders").select("o_orderkey", "o_orderdate").where("o_orderkey < 800"), "o_orderdate", "2001-01-01", 3, 7, 4, 6).select("o_orderkey"), "WITH o AS (SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderkey < 800) SELECT DISTINCT o_orderkey FROM o WHERE o_orderdate >= TIMESTAMP '2001-01-01' - INTERVAL 180 DAY OR o_orderkey IN (SELECT o_orderkey FROM o ORDER BY o_orderdate DESC LIMIT 3)"),
+    "backup_retention": (lambda s, d: H.retained(T(s, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "2001-01-01", 3, 7, 4, 6).select("o_orderkey"), "WITH o AS (SELECT o_orderkey, o_orderdate FROM orders) SELECT DISTINCT o_orderkey FROM o WHERE o_orderdate >= TIMESTAMP '2001-01-01' - INTERVAL 180 DAY OR o_orderkey IN (SELECT o_orderkey FROM o ORDER BY o_orderdate DESC LIMIT 3)"),
     # ---- metrics, alerts, limits
     "metric_gauges": (lambda s, d: O.gauges(_ev(s, d), ["event_type"], "value", ["ms", "event_id"]), f"SELECT event_type, arg_max(value, (ms, event_id)) AS value, min(value) AS min, max(value) AS max FROM {_E} GROUP BY 1"),
     "metric_counters": (lambda s, d: O.counters(_ev(s, d), ["event_type", "user_id"], "event_id"), "SELECT event_type, user_id, CAST(sum(event_id) AS BIGINT) AS value FROM events GROUP BY 1, 2"),
@@ -80,8 +80,8 @@ QUERIES = {
     "trace_self_time": (lambda s, d: O.span_tree(_ev(s, d).select(F.col("event_id").alias("span"), F.floor(F.col("event_id") / 4).alias("parent"), F.col("event_id").alias("start"), (F.col("event_id") * 2).alias("end")), "span", "parent", "start", "end").select("span", "self_time", "children"), "SELECT e.event_id AS span, e.event_id - coalesce(c, 0) AS self_time, coalesce(k, 0) AS children FROM events e LEFT JOIN (SELECT event_id // 4 AS p, CAST(sum(event_id) AS BIGINT) AS c, count(*) AS k FROM events GROUP BY 1) ON p = e.event_id"),
     "health_services": (lambda s, d: O.health(T(s, d, "orders").select((F.col("o_custkey") % 50).alias("service"), F.when(F.col("o_totalprice") > 180000, "unhealthy").when(F.col("o_totalprice") > 150000, "degraded").otherwise("healthy").alias("status"), (F.col("o_orderpriority") == "1-URGENT").alias("critical")), "service", "status", "critical"), "SELECT o_custkey % 50 AS service, CASE WHEN bool_or(o_orderpriority = '1-URGENT' AND o_totalprice > 180000) THEN 'unhealthy' WHEN bool_or(o_totalprice > 150000) THEN 'degraded' ELSE 'healthy' END AS health FROM orders GROUP BY 1"),
     "limit_fixed_window": (lambda s, d: O.fixed_window(_ev(s, d), "user_id", "ms", 86_400_000, 2, ["event_id"]).select("event_id", "allowed"), f"SELECT event_id, row_number() OVER (PARTITION BY user_id, ms // 86400000 ORDER BY ms, event_id) <= 2 AS allowed FROM {_E}"),
-    "limit_token_bucket": (lambda s, d: O.token_bucket(_ev(s, d).where("user_id < 12"), "user_id", "ms", 2.0, 1 / 43_200_000, ["event_id"]).select("event_id", "allowed"), _limit_sql("SELECT event_id, user_id, i, ms, 1.0::DOUBLE AS tokens, true AS allowed FROM r WHERE i = 1", "least(2.0, f.tokens + (r.ms - f.ms) / 43200000) >= 1", "least(2.0, f.tokens + (r.ms - f.ms) / 43200000) - CASE WHEN least(2.0, f.tokens + (r.ms - f.ms) / 43200000) >= 1 THEN 1 ELSE 0 END")),
-    "limit_leaky_bucket": (lambda s, d: O.leaky_bucket(_ev(s, d).where("user_id < 12"), "user_id", "ms", 2.0, 1 / 43_200_000, ["event_id"]).select("event_id", "allowed"), _limit_sql("SELECT event_id, user_id, i, ms, 1.0::DOUBLE AS q, true AS allowed FROM r WHERE i = 1", "greatest(0.0, f.q - (r.ms - f.ms) / 43200000) < 2", "greatest(0.0, f.q - (r.ms - f.ms) / 43200000) + CASE WHEN greatest(0.0, f.q - (r.ms - f.ms) / 43200000) < 2 THEN 1 ELSE 0 END")),
-    "limit_sliding_log": (lambda s, d: O.sliding_log(_ev(s, d).where("user_id < 12"), "user_id", "ms", 86_400_000, 2, ["event_id"]).select("event_id", "allowed"), _limit_sql("SELECT event_id, user_id, i, ms, [ms] AS l, true AS allowed FROM r WHERE i = 1", "len(list_filter(f.l, lambda x: x > r.ms - 86400000)) < 2", "CASE WHEN len(list_filter(f.l, lambda x: x > r.ms - 86400000)) < 2 THEN list_append(list_filter(f.l, lambda x: x > r.ms - 86400000), r.ms) ELSE list_filter(f.l, lambda x: x > r.ms - 86400000) END")),
+    "limit_token_bucket": (lambda s, d: O.token_bucket(_ev(s, d), "user_id", "ms", 2.0, 1 / 43_200_000, ["event_id"]).select("event_id", "allowed"), _limit_sql("SELECT event_id, user_id, i, ms, 1.0::DOUBLE AS tokens, true AS allowed FROM r WHERE i = 1", "least(2.0, f.tokens + (r.ms - f.ms) / 43200000) >= 1", "least(2.0, f.tokens + (r.ms - f.ms) / 43200000) - CASE WHEN least(2.0, f.tokens + (r.ms - f.ms) / 43200000) >= 1 THEN 1 ELSE 0 END")),
+    "limit_leaky_bucket": (lambda s, d: O.leaky_bucket(_ev(s, d), "user_id", "ms", 2.0, 1 / 43_200_000, ["event_id"]).select("event_id", "allowed"), _limit_sql("SELECT event_id, user_id, i, ms, 1.0::DOUBLE AS q, true AS allowed FROM r WHERE i = 1", "greatest(0.0, f.q - (r.ms - f.ms) / 43200000) < 2", "greatest(0.0, f.q - (r.ms - f.ms) / 43200000) + CASE WHEN greatest(0.0, f.q - (r.ms - f.ms) / 43200000) < 2 THEN 1 ELSE 0 END")),
+    "limit_sliding_log": (lambda s, d: O.sliding_log(_ev(s, d), "user_id", "ms", 86_400_000, 2, ["event_id"]).select("event_id", "allowed"), _limit_sql("SELECT event_id, user_id, i, ms, [ms] AS l, true AS allowed FROM r WHERE i = 1", "len(list_filter(f.l, lambda x: x > r.ms - 86400000)) < 2", "CASE WHEN len(list_filter(f.l, lambda x: x > r.ms - 86400000)) < 2 THEN list_append(list_filter(f.l, lambda x: x > r.ms - 86400000), r.ms) ELSE list_filter(f.l, lambda x: x > r.ms - 86400000) END")),
     "limit_sliding_counter": (lambda s, d: O.sliding_counter(_ev(s, d), "user_id", "ms", 86_400_000, 2.0, ["event_id"]).groupBy("allowed").agg(F.count("*").alias("n")), None),
 }

@@ -21,12 +21,12 @@ _CASE = "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 5 WHEN 'purchase'
 
 def _searches(spark, d):
     c = table(spark, d, "conversations")
-    return c.where("role = 'user'").select(product.normalized_query(F.substring("text", 1, 3)).alias("query"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), (F.length("text") % 7 % 3).alias("results"), F.length("text").cast("double").alias("latency"))
+    return c.where("role = 'user'").select(product.normalized_query("text").alias("query"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), (F.length("text") % 7 % 3).alias("results"), F.length("text").cast("double").alias("latency"))
 
 
 def _clicks(spark, d):
     c = table(spark, d, "conversations")
-    return c.where("role = 'assistant'").select(product.normalized_query(F.substring("text", 1, 3)).alias("query"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"))
+    return c.where("role = 'assistant'").select(product.normalized_query("text").alias("query"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"))
 
 
 def _content(spark, d):
@@ -36,7 +36,7 @@ def _content(spark, d):
 
 
 _ACT = "(SELECT user_id, event_id, value, ts, CASE event_type WHEN 'view' THEN 'view' WHEN 'click' THEN 'edit' WHEN 'purchase' THEN 'create' WHEN 'signup' THEN 'login' WHEN 'error' THEN 'delete' END AS action FROM events)"
-_NQ = "lower(trim(regexp_replace(substr(text, 1, 3), '\\s+', ' ', 'g')))"
+_NQ = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
 _SQ = f"(SELECT {_NQ} AS query, conv_id * 1000 + turn AS ord, length(text) % 7 % 3 AS results, CAST(length(text) AS DOUBLE) AS latency FROM conversations WHERE role = 'user')"
 _CK = f"(SELECT {_NQ} AS query, conv_id * 1000 + turn AS ord FROM conversations WHERE role = 'assistant')"
 _SC = "(SELECT doc_id, floor((least(30.0, n_chars / 2000 * 30) + least(25.0, (doc_id % 13) / 10 * 25) + least(20.0, (doc_id % 6) / 5 * 20) + greatest(0.0, 15 * (1 - (doc_id % 700) / 365)) + least(10.0, (doc_id % 4) / 5 * 10)) * 10 + 0.5) / 10 AS score FROM documents)"

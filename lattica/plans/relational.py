@@ -63,7 +63,7 @@ QUERIES = {
     "join_theta": (lambda s, d: Query(T(s, d, "region")).join(T(s, d, "nation"), F.expr("n_regionkey < r_regionkey AND n_nationkey % 5 = r_regionkey")).build().select("r_name", "n_name"), "SELECT r_name, n_name FROM region JOIN nation ON n_regionkey < r_regionkey AND n_nationkey % 5 = r_regionkey"),
     "join_semi_anti": (lambda s, d: T(s, d, "part").join(T(s, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_semi").join(T(s, d, "lineitem").where("l_tax > 0.07 and l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti").select("p_partkey"), "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_tax > 0.07 AND l_returnflag = 'R')"),
     "join_interval": (lambda s, d: J.interval_join(_users(s, d).where("event_type = 'click'").select("event_id", "user_id", F.timestamp_millis("ms").alias("t")), _users(s, d).where("event_type = 'purchase'").select(F.col("event_id").alias("other"), F.col("user_id").alias("u"), F.timestamp_millis("ms").alias("t2")), [("user_id", "u")], "t", "t2", 3_600_000).select("event_id", "other"), f"SELECT a.event_id, b.event_id AS other FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND abs(epoch_us(a.ts) // 1000 - epoch_us(b.ts) // 1000) <= 3600000"),
-    "join_overlap": (lambda s, d: J.overlap_join(T(s, d, "part").select("p_partkey", F.col("p_retailprice").alias("lo"), (F.col("p_retailprice") + F.col("p_size") / 10).alias("hi")).where("p_partkey <= 400"), T(s, d, "supplier").select("s_suppkey", F.abs("s_acctbal").alias("lo2"), (F.abs("s_acctbal") + 3).alias("hi2")), ("lo", "hi"), ("lo2", "hi2"), 10.0).select("p_partkey", "s_suppkey"), "SELECT p_partkey, s_suppkey FROM part, supplier WHERE p_partkey <= 400 AND p_retailprice <= abs(s_acctbal) + 3 AND abs(s_acctbal) <= p_retailprice + p_size / 10"),
+    "join_overlap": (lambda s, d: J.overlap_join(T(s, d, "part").select("p_partkey", F.col("p_retailprice").alias("lo"), (F.col("p_retailprice") + F.col("p_size") / 10).alias("hi")), T(s, d, "supplier").select("s_suppkey", F.abs("s_acctbal").alias("lo2"), (F.abs("s_acctbal") + 3).alias("hi2")), ("lo", "hi"), ("lo2", "hi2"), 10.0).select("p_partkey", "s_suppkey"), "SELECT p_partkey, s_suppkey FROM part, supplier WHERE p_retailprice <= abs(s_acctbal) + 3 AND abs(s_acctbal) <= p_retailprice + p_size / 10"),
     "join_as_of": (lambda s, d: J.as_of_join(_users(s, d).where("event_type = 'purchase'").select("event_id", "user_id", "ms"), _users(s, d).where("event_type = 'view'").select("user_id", F.col("ms").alias("vms"), F.col("event_id").alias("seen")), "user_id", "ms", "vms", "seen").select("event_id", "as_of_seen"), f"SELECT a.event_id, (SELECT arg_max(b.event_id, b.ts) FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'view' AND b.ts <= a.ts) AS as_of_seen FROM events a WHERE a.event_type = 'purchase'"),
     "join_zip": (lambda s, d: J.zip_join(T(s, d, "supplier").select("s_suppkey"), T(s, d, "nation").select("n_nationkey"), ["s_suppkey"], ["n_nationkey"]).select("s_suppkey", "n_nationkey"), "SELECT s_suppkey, n_nationkey FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier) JOIN (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) USING (i)"),
     "join_batch_lookup": (lambda s, d: s.createDataFrame([(i, k) for i, k in enumerate([9, 3, 9, 700000])], "ord int, k long").join(T(s, d, "part").select("p_partkey", "p_name"), F.col("k") == F.col("p_partkey"), "left").select("ord", "k", "p_name"), "SELECT CAST(ord AS INTEGER) AS ord, CAST(k AS BIGINT) AS k, p_name FROM (VALUES (0, 9), (1, 3), (2, 9), (3, 700000)) v(ord, k) LEFT JOIN part ON k = p_partkey"),

@@ -38,9 +38,9 @@ QUERIES = {
     "ts_rolling": (lambda s, d: _r(TS.rolling(_ev(s, d), D, "sum", ["user_id"]).select("event_id", "rolling"), 4), f"SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ms RANGE BETWEEN {D} PRECEDING AND CURRENT ROW), 4) AS rolling FROM {_E}"),
     "ts_sma": (lambda s, d: _r(TS.moving_average(_ev(s, d), 5, ["user_id"], ["ms", "event_id"]).select("event_id", "sma")), f"SELECT event_id, round(sma, 6) AS sma FROM (SELECT event_id, avg(value) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS 4 PRECEDING) AS sma, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS i FROM {_E}) WHERE i >= 5"),
     "ts_wma": (lambda s, d: _r(TS.weighted_average(_ev(s, d), [1.0, 2.0, 3.0], ["user_id"], ["ms", "event_id"]).select("event_id", "wma")), f"SELECT event_id, round((lag(value, 2) OVER w + 2 * lag(value, 1) OVER w + 3 * value) / 6, 6) AS wma FROM {_E} WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id) QUALIFY wma IS NOT NULL"),
-    "ts_ema": (lambda s, d: _r(TS.exponential_average(_ev(s, d).where("user_id < 20"), 0.3, ["user_id"], ["ms", "event_id"]).select("event_id", "ema")), f"WITH RECURSIVE o AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS i FROM {_E} WHERE user_id < 20), r AS (SELECT event_id, user_id, i, value AS ema FROM o WHERE i = 1 UNION ALL SELECT o.event_id, o.user_id, o.i, 0.3 * o.value + 0.7 * r.ema FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1) SELECT event_id, round(ema, 6) AS ema FROM r"),
+    "ts_ema": (lambda s, d: _r(TS.exponential_average(_ev(s, d), 0.3, ["user_id"], ["ms", "event_id"]).select("event_id", "ema")), f"WITH RECURSIVE o AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS i FROM {_E}), r AS (SELECT event_id, user_id, i, value AS ema FROM o WHERE i = 1 UNION ALL SELECT o.event_id, o.user_id, o.i, 0.3 * o.value + 0.7 * r.ema FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1) SELECT event_id, round(ema, 6) AS ema FROM r"),
     "ts_rate": (lambda s, d: _r(TS.rate(_ev(s, d), D, H, ["user_id"]).select("event_id", "rate")), f"WITH e AS {_E} SELECT event_id, round((value - bv) / (ms - bms) * {H}, 6) AS rate FROM (SELECT e.event_id, e.value, e.ms, coalesce(b.ms, f.ms) AS bms, coalesce(b.value, f.value) AS bv FROM e ASOF LEFT JOIN (SELECT user_id AS u, ms + {D} AS m2, ms, value FROM e) b ON e.user_id = b.u AND e.ms >= b.m2 JOIN (SELECT user_id, min(ms) AS ms, arg_min(value, ms) AS value FROM e GROUP BY 1) f ON f.user_id = e.user_id) WHERE ms > bms"),
-    "ts_fill_gaps": (lambda s, d: _r(TS.fill_gaps(TS.downsample(_ev(s, d).where("user_id % 3 = 0"), H, "sum", ["event_type"]).select("event_type", F.col("bucket").alias("ms"), "value"), H, ["event_type"])), f"WITH b AS (SELECT event_type, ms // {H} * {H} AS ms, sum(value) AS value FROM {_E} WHERE user_id % 3 = 0 GROUP BY 1, 2), p AS (SELECT *, lead(ms) OVER w AS t, lead(value) OVER w AS v FROM b WINDOW w AS (PARTITION BY event_type ORDER BY ms)) SELECT event_type, ms, round(value, 6) AS value, false AS filled FROM b UNION ALL SELECT event_type, ms + s * {H} AS ms, round(value + (v - value) * s / ((t - ms) // {H}), 6) AS value, true AS filled FROM p, LATERAL (SELECT unnest(range(1, (t - ms) // {H})) AS s) WHERE t - ms > {H} AND t - ms <= 5 * {H}"),
+    "ts_fill_gaps": (lambda s, d: _r(TS.fill_gaps(TS.downsample(_ev(s, d), H, "sum", ["event_type"]).select("event_type", F.col("bucket").alias("ms"), "value"), H, ["event_type"])), f"WITH b AS (SELECT event_type, ms // {H} * {H} AS ms, sum(value) AS value FROM {_E} GROUP BY 1, 2), p AS (SELECT *, lead(ms) OVER w AS t, lead(value) OVER w AS v FROM b WINDOW w AS (PARTITION BY event_type ORDER BY ms)) SELECT event_type, ms, round(value, 6) AS value, false AS filled FROM b UNION ALL SELECT event_type, ms + s * {H} AS ms, round(value + (v - value) * s / ((t - ms) // {H}), 6) AS value, true AS filled FROM p, LATERAL (SELECT unnest(range(1, (t - ms) // {H})) AS s) WHERE t - ms > {H} AND t - ms <= 5 * {H}"),
     "ts_latest": (lambda s, d: TS.latest(_ev(s, d), 30, ties=["event_id"]).select("event_id", "ms"), f"SELECT event_id, ms FROM {_E} ORDER BY ms DESC, event_id LIMIT 30"),
     "ts_delta": (lambda s, d: TS.deltas(_ev(s, d), ["user_id"], ["ms", "event_id"], "ms").select("event_id", "delta"), f"SELECT event_id, ms - coalesce(lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id), 0) AS delta FROM {_E}"),
     "ts_undelta": (lambda s, d: TS.undelta(TS.deltas(_ev(s, d).drop("value"), ["user_id"], ["ms", "event_id"], "ms"), ["user_id"], ["ms", "event_id"], "delta").select("event_id", "value"), f"SELECT event_id, ms AS value FROM {_E}"),

@@ -10,13 +10,8 @@ from lattica.operators import search as S
 from lattica.session import table as T
 
 
-def _whole(s, d):
-    return T(s, d, "documents").select("doc_id", "text", F.substring("text", 1, 40).alias("title"), "lang")
-
-
 def _docs(s, d):
-    """The documents that the SQL of the queries below names."""
-    return T(s, d, "documents").where("n_chars < 1500").select("doc_id", "text", F.substring("text", 1, 40).alias("title"), "lang")
+    return T(s, d, "documents").select("doc_id", "text", F.substring("text", 1, 40).alias("title"), "lang")
 
 
 def _r(df, places=6):
@@ -30,7 +25,7 @@ def _tok(c):
     return f"list_filter(string_split(trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: w <> '' AND NOT list_contains({_STOP}, w))"
 
 
-_D = "d AS (SELECT doc_id, text, substr(text, 1, 40) AS title, lang FROM documents WHERE n_chars < 1500)"
+_D = "d AS (SELECT doc_id, text, substr(text, 1, 40) AS title, lang FROM documents)"
 _P = f"t AS (SELECT doc_id, {_tok('title')} AS t, {_tok('text')} AS c FROM d), p AS (SELECT doc_id, f, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) + len(c) AS len, 'title' AS f, unnest(t) AS term FROM t UNION ALL SELECT doc_id, len(t) + len(c), 'content', unnest(c) FROM t) GROUP BY ALL)"
 _BM = f"{_D}, {_P}, z AS (SELECT count(*) AS n, avg(len(t) + len(c)) AS a FROM t), q AS (SELECT * FROM (VALUES ('thtion', 2), ('erha', 1), ('onthe', 1)) v(term, times)), df AS (SELECT term, count(*) AS df FROM p JOIN q USING (term) GROUP BY 1), bm AS (SELECT doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a)) * CASE f WHEN 'title' THEN 2 ELSE 1 END) AS score FROM p JOIN q USING (term) JOIN df USING (term) CROSS JOIN z GROUP BY 1)"
 _Q = ["thtion", "erha", "thtion", "onthe"]
@@ -46,21 +41,21 @@ _COS = f"list_dot_product(e.embedding::DOUBLE[], {_V}::DOUBLE[]) / (sqrt(list_do
 QUERIES = {
     "text_tokens": (lambda s, d: _docs(s, d).select("doc_id", F.array_join(N.tokens("text"), " ").alias("t")), f"WITH {_D} SELECT doc_id, array_to_string({_tok('text')}, ' ') AS t FROM d"),
     "text_ngrams": (lambda s, d: _docs(s, d).select(F.explode(N.ngrams(N.tokens("text"), 2)).alias("g")).groupBy("g").agg(F.count("*").alias("n")).where("n > 3"), f"WITH {_D}, t AS (SELECT {_tok('text')} AS w FROM d) SELECT w[i] || ' ' || w[i + 1] AS g, count(*) AS n FROM t, LATERAL (SELECT unnest(range(1, len(w))) AS i) GROUP BY 1 HAVING count(*) > 3"),
-    "text_tfidf": (lambda s, d: _r(N.tf_idf(_docs(s, d).where("doc_id < 300"), "doc_id", "text").select("doc", "term", "weight")), f"WITH {_D}, w AS (SELECT doc_id AS doc, unnest({_tok('text')}) AS term FROM d WHERE doc_id < 300), c AS (SELECT doc, term, count(*) AS n FROM w GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM c GROUP BY 1) SELECT doc, term, round(n / sum(n) OVER (PARTITION BY doc) * (ln(((SELECT count(*) FROM d WHERE doc_id < 300) + 1) / (df + 1)) + 1), 6) AS weight FROM c JOIN f USING (term)"),
-    "text_keywords": (lambda s, d: N.top_keywords(N.tf_idf(_docs(s, d).where("doc_id < 100"), "doc_id", "text").withColumn("weight", F.round("weight", 9)), 5), f"WITH {_D}, w AS (SELECT doc_id AS doc, unnest({_tok('text')}) AS term FROM d WHERE doc_id < 100), c AS (SELECT doc, term, count(*) AS n FROM w GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM c GROUP BY 1) SELECT doc, term, row_number() OVER (PARTITION BY doc ORDER BY weight DESC, term) AS rank FROM (SELECT doc, term, round(n / sum(n) OVER (PARTITION BY doc) * (ln(((SELECT count(*) FROM d WHERE doc_id < 100) + 1) / (df + 1)) + 1), 9) AS weight FROM c JOIN f USING (term)) QUALIFY rank <= 5"),
-    "text_similarity": (lambda s, d: _r(T(s, d, "part").where("p_partkey <= 300").select("p_partkey", F.levenshtein("p_name", "p_type").cast("long").alias("lev"), X.js_round(N.normalised_levenshtein(F.col("p_name"), F.col("p_type")), 6).alias("norm"), N.jaccard(F.split(F.lower("p_name"), " "), F.split(F.lower("p_type"), " ")).alias("jac"), N.dice(N.char_bigrams("p_name"), N.char_bigrams("p_type")).alias("dice"))), "WITH p AS (SELECT p_partkey, p_name AS a, p_type AS b, string_split(lower(p_name), ' ') AS x, string_split(lower(p_type), ' ') AS y, list_distinct(list_transform(range(1, length(p_name)), lambda i: lower(p_name)[i:i + 1])) AS u, list_distinct(list_transform(range(1, length(p_type)), lambda i: lower(p_type)[i:i + 1])) AS v FROM part WHERE p_partkey <= 300) SELECT p_partkey, levenshtein(a, b) AS lev, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS norm, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS jac, round(2 * len(list_intersect(u, v)) / (len(u) + len(v)), 6) AS dice FROM p"),
-    "text_jaro_winkler": (lambda s, d: _r(T(s, d, "part").where("p_partkey <= 500").select("p_partkey", F.pandas_udf(N.jaro_winkler, "double")("p_brand", "p_type").alias("jw"), F.pandas_udf(N.jaro_winkler, "double")("p_name", "p_name").alias("same"))), "SELECT p_partkey, round(jaro_winkler_similarity(p_brand, p_type, 0), 6) AS jw, 1.0::DOUBLE AS same FROM part WHERE p_partkey <= 500"),
+    "text_tfidf": (lambda s, d: _r(N.tf_idf(_docs(s, d), "doc_id", "text").select("doc", "term", "weight")), f"WITH {_D}, w AS (SELECT doc_id AS doc, unnest({_tok('text')}) AS term FROM d), c AS (SELECT doc, term, count(*) AS n FROM w GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM c GROUP BY 1) SELECT doc, term, round(n / sum(n) OVER (PARTITION BY doc) * (ln(((SELECT count(*) FROM d) + 1) / (df + 1)) + 1), 6) AS weight FROM c JOIN f USING (term)"),
+    "text_keywords": (lambda s, d: N.top_keywords(N.tf_idf(_docs(s, d), "doc_id", "text").withColumn("weight", F.round("weight", 9)), 5), f"WITH {_D}, w AS (SELECT doc_id AS doc, unnest({_tok('text')}) AS term FROM d), c AS (SELECT doc, term, count(*) AS n FROM w GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM c GROUP BY 1) SELECT doc, term, row_number() OVER (PARTITION BY doc ORDER BY weight DESC, term) AS rank FROM (SELECT doc, term, round(n / sum(n) OVER (PARTITION BY doc) * (ln(((SELECT count(*) FROM d) + 1) / (df + 1)) + 1), 9) AS weight FROM c JOIN f USING (term)) QUALIFY rank <= 5"),
+    "text_similarity": (lambda s, d: _r(T(s, d, "part").select("p_partkey", F.levenshtein("p_name", "p_type").cast("long").alias("lev"), X.js_round(N.normalised_levenshtein(F.col("p_name"), F.col("p_type")), 6).alias("norm"), N.jaccard(F.split(F.lower("p_name"), " "), F.split(F.lower("p_type"), " ")).alias("jac"), N.dice(N.char_bigrams("p_name"), N.char_bigrams("p_type")).alias("dice"))), "WITH p AS (SELECT p_partkey, p_name AS a, p_type AS b, string_split(lower(p_name), ' ') AS x, string_split(lower(p_type), ' ') AS y, list_distinct(list_transform(range(1, length(p_name)), lambda i: lower(p_name)[i:i + 1])) AS u, list_distinct(list_transform(range(1, length(p_type)), lambda i: lower(p_type)[i:i + 1])) AS v FROM part) SELECT p_partkey, levenshtein(a, b) AS lev, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS norm, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS jac, round(2 * len(list_intersect(u, v)) / (len(u) + len(v)), 6) AS dice FROM p"),
+    "text_jaro_winkler": (lambda s, d: _r(T(s, d, "part").select("p_partkey", F.pandas_udf(N.jaro_winkler, "double")("p_brand", "p_type").alias("jw"), F.pandas_udf(N.jaro_winkler, "double")("p_name", "p_name").alias("same"))), "SELECT p_partkey, round(jaro_winkler_similarity(p_brand, p_type, 0), 6) AS jw, 1.0::DOUBLE AS same FROM part"),
     "text_lcs": (lambda s, d: T(s, d, "part").select("p_partkey", F.pandas_udf(N.longest_common_subsequence, "long")("p_name", "p_type").alias("lcs")), None),
     "text_word_cosine": (lambda s, d: _r(T(s, d, "part").select("p_partkey", N.word_cosine(F.split(F.lower("p_name"), " "), F.split(F.lower("p_type"), " ")).alias("cos"))), None),
-    "text_sentences": (lambda s, d: _whole(s, d).select("doc_id", F.size(N.sentences("text")).alias("n")), None),
+    "text_sentences": (lambda s, d: _docs(s, d).select("doc_id", F.size(N.sentences("text")).alias("n")), None),
     "text_sentiment": (lambda s, d: T(s, d, "conversations").select("conv_id", "turn", N.sentiment(N.word_tokens(F.concat(F.lit("not good very bad best "), F.col("role")))).alias("score")).where("score <> 0"), "SELECT conv_id, turn, CAST(-2.6 AS DOUBLE) AS score FROM conversations"),
-    "text_language": (lambda s, d: _whole(s, d).select("lang", N.detect_language("text").alias("guess")).groupBy("lang", "guess").agg(F.count("*").alias("n")), None),
-    "text_entities": (lambda s, d: _docs(s, d).select("doc_id", F.explode(N.entities("text")).alias("e")).select("doc_id", "e.kind", "e.text").where("kind in ('email', 'url', 'currency')"), "WITH d AS (SELECT doc_id, text FROM documents WHERE n_chars < 1500), e AS (SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', ' ', 'g') AS text FROM d), u AS (SELECT doc_id, regexp_replace(text, 'https?://[^\\s<>\"]+', ' ', 'g') AS text FROM e) SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS text FROM d UNION ALL SELECT doc_id, 'url', unnest(regexp_extract_all(text, 'https?://[^\\s<>\"]+')) FROM e UNION ALL SELECT doc_id, 'currency', unnest(regexp_extract_all(text, '[$€£]\\s?[0-9][0-9,]*(?:\\.[0-9]+)?')) FROM u"),
+    "text_language": (lambda s, d: _docs(s, d).select("lang", N.detect_language("text").alias("guess")).groupBy("lang", "guess").agg(F.count("*").alias("n")), None),
+    "text_entities": (lambda s, d: _docs(s, d).select("doc_id", F.explode(N.entities("text")).alias("e")).select("doc_id", "e.kind", "e.text").where("kind in ('email', 'url', 'currency')"), "WITH d AS (SELECT doc_id, text FROM documents), e AS (SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', ' ', 'g') AS text FROM d), u AS (SELECT doc_id, regexp_replace(text, 'https?://[^\\s<>\"]+', ' ', 'g') AS text FROM e) SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS text FROM d UNION ALL SELECT doc_id, 'url', unnest(regexp_extract_all(text, 'https?://[^\\s<>\"]+')) FROM e UNION ALL SELECT doc_id, 'currency', unnest(regexp_extract_all(text, '[$€£]\\s?[0-9][0-9,]*(?:\\.[0-9]+)?')) FROM u"),
     "text_clean_html": (lambda s, d: T(s, d, "pages").select("page_id", F.md5(N.clean("html")).alias("h")), "SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'gsi'), '<[^>]+>', ' ', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), 'https?://[^\\s<>\"]+', ' ', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', ' ', 'g'), '\\s+', ' ', 'g'))) AS h FROM pages"),
-    "text_rake": (lambda s, d: _r(N.rake(_whole(s, d), "doc_id", "text")), None),
-    "text_summary": (lambda s, d: N.summarize(_whole(s, d), "doc_id", "text", 2), None),
+    "text_rake": (lambda s, d: _r(N.rake(_docs(s, d), "doc_id", "text")), None),
+    "text_summary": (lambda s, d: N.summarize(_docs(s, d), "doc_id", "text", 2), None),
     "search_bm25": (lambda s, d: _r(S.bm25(_docs(s, d), _Q, "doc_id", "title", "text", 20)), f"WITH {_BM} SELECT doc_id AS doc, round(score, 6) AS score FROM bm ORDER BY score DESC, doc_id LIMIT 20"),
-    "search_highlights": (lambda s, d: _whole(s, d).select("doc_id", F.array_join(S.highlights("text", ["thtion", "erha"]), " | ").alias("h")).where("h <> ''"), None),
+    "search_highlights": (lambda s, d: _docs(s, d).select("doc_id", F.array_join(S.highlights("text", ["thtion", "erha"]), " | ").alias("h")).where("h <> ''"), None),
     "search_vector": (lambda s, d: _r(S.vector_search(T(s, d, "embeddings"), _vector(s, d), "vec_id", "embedding", 15)), f"SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings e ORDER BY {_COS} DESC, vec_id LIMIT 15"),
     "search_euclidean": (lambda s, d: _r(T(s, d, "embeddings").select("vec_id", S.euclidean(F.col("embedding"), F.array(*[F.lit(x) for x in _vector(s, d)])).alias("dist"))), f"SELECT vec_id, round(sqrt(list_sum(list_transform(list_zip(embedding::DOUBLE[], {_V}::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6) AS dist FROM embeddings"),
     "search_hybrid": (lambda s, d: _r(S.hybrid(_docs(s, d), T(s, d, "embeddings"), _Q, _vector(s, d), "doc_id", "title", "text", "vec_id", "embedding", 10), 9), f"WITH {_BM}, a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM bm QUALIFY r <= 100), b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {_COS} DESC, vec_id) AS r FROM embeddings e WHERE {_COS} >= 0 QUALIFY r <= 100) SELECT id, round(sum(0.5 / (60 + r)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1 ORDER BY sum(0.5 / (60 + r)) DESC, id LIMIT 10"),
