@@ -37,7 +37,7 @@ def ngrams(words: Column, n: int) -> Column:
     """Runs of ``n`` words: shifted arrays side by side, so that the work grows with the text and not its square."""
     count = F.greatest(F.size(words) - (n - 1), F.lit(0))
     shifted = F.arrays_zip(*[F.slice(words, F.lit(i + 1), count).alias(f"w{i}") for i in range(n)])
-    return F.transform(shifted, lambda run: F.concat_ws(" ", *[run.getField(str(i)) for i in range(n)]))
+    return F.transform(shifted, lambda run: F.concat_ws(" ", *[run.getField(f"w{i}") for i in range(n)]))
 
 
 def sentences(text: Column | str) -> Column:
