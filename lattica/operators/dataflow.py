@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.operators import sets
+from lattica.session import cut
 
 
 @dataclass(frozen=True)
@@ -38,8 +39,21 @@ class Flow:
     def flat_map(self, array: Column, name: str) -> Flow:
         return self._then(self.df.withColumn(name, F.explode(array)))
 
+    def running(self, name: str, value: str, kind: str = "sum") -> Flow:
+        """A running sum, count, min or max in arrival order, nulls left out: totals of sorted ranges are carried to
+        the ranges behind them, so no task sees all rows. Ties in ``order`` may fall either way."""
+        made = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}[kind]
+        placed = cut(self.df.repartitionByRange(*self.order).withColumn("_p", F.spark_partition_id()))
+        totals = placed.groupBy("_p").agg(made(value).alias("_t"))
+        carry = F.sum if kind == "count" else made
+        before = totals.select("_p", carry("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_b"))
+        inside = made(value).over(Window.partitionBy("_p").orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0))
+        own, base = F.col("_own"), F.col("_b")
+        both = F.coalesce(own + base, own, base) if kind in ("sum", "count") else (F.least if kind == "min" else F.greatest)(own, base)
+        return self._then(placed.withColumn("_own", inside).join(before, "_p").withColumn(name, both).drop("_p", "_own", "_b"))
+
     def scan(self, name: str, aggregate: Column) -> Flow:
-        """A running aggregate in arrival order."""
+        """Any running aggregate in arrival order, in one task; ``running`` scales."""
         w = Window.orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
         return self._then(self.df.withColumn(name, aggregate.over(w)))
 

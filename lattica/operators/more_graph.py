@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.operators.graph import oriented, undirected, vertices
+from lattica.operators.graph import all_distances, oriented, undirected, vertices
 from lattica.operators.graph_algorithms import common_neighbors
 from lattica.operators.joins import numbered
+from lattica.operators.records import path_statistics
 from lattica.session import cut
 
 
@@ -116,3 +117,18 @@ def biased_walks(edges: DataFrame, length: int, per_node: int, p: float = 1.0, q
         at = cut(rows.select("start", "walk", F.coalesce(pick["v"], F.element_at("n", -1)).alias("id2"), F.col("id").alias("last"), F.col("n").alias("ln")).withColumnRenamed("id2", "id"))
         out = out.union(at.select("start", "walk", F.lit(k), "id"))
     return out
+
+
+def top_similar(edges: DataFrame, by: str, k: int) -> DataFrame:
+    """(id, other, score, place): each node's ``k`` most similar nodes by a score of ``common_neighbors``, ties by id."""
+    pairs = common_neighbors(edges).select("u", "v", F.col(by).alias("score"))
+    both = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("other")), F.struct(F.col("v").alias("id"), F.col("u").alias("other")))).alias("p"), "score").select("p.*", "score")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
+    return both.withColumn("place", place).where(F.col("place") <= k)
+
+
+def sampled_paths(edges: DataFrame, sources: int = 50, seed: int = 42) -> DataFrame:
+    """(mean_path, diameter, pairs) over undirected distances from the ``sources`` nodes of least hash; of a graph
+    with no more nodes than that, the exact figures."""
+    starts = vertices(edges).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sources)
+    return path_statistics(all_distances(edges, cut(starts), direction="both"), "depth")

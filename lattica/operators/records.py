@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators.joins import numbered
+
 
 def pick(df: DataFrame, columns: list[str]) -> DataFrame:
     """The named columns that there are, in the order asked for."""
@@ -129,7 +131,7 @@ def path_statistics(distances: DataFrame, distance: str) -> DataFrame:
 
 
 def dictionary_codes(df: DataFrame, column: str) -> DataFrame:
-    """(value, code, n): codes from 0 by falling frequency, then value; made of the counted values alone."""
-    counted = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    both = counted.alias("a").join(counted.alias("b"), (F.col("b.n") > F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & (F.col("b.value") < F.col("a.value"))), "left")
-    return both.groupBy(F.col("a.value").alias("value"), F.col("a.n").alias("n")).agg(F.count("b.value").alias("code"))
+    """(value, n, code): codes from 0 by falling frequency, then value; numbered over sorted ranges of the counted
+    values, so no task sees them all."""
+    counted = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).withColumn("_rank", -F.col("n"))
+    return numbered(counted, ["_rank", "value"], "code").select("value", "n", "code")
