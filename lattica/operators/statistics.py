@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.quantiles import exact_quantiles, with_quantiles
 from lattica.operators.timeseries import average_ranks
 
 #: Normal quantiles of two-sided confidence levels (fixed values).
@@ -20,23 +21,27 @@ def modes(df: DataFrame, value: str) -> DataFrame:
 
 
 def skewness_sample(value: str | Column) -> Column:
+    """Null for fewer than three values."""
     n, g = F.count(value), F.skewness(value)
-    return F.sqrt(n * (n - 1)) / (n - 2) * g
+    return F.try_divide(F.sqrt(n * (n - 1)), n - 2) * F.when(n > 2, g)
 
 
 def kurtosis_sample(value: str | Column) -> Column:
+    """Null for fewer than four values."""
     n, g = F.count(value), F.kurtosis(value)
-    return (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g + 6)
+    return F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.when(n > 3, g) + 6)
 
 
 def describe(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
-    """Both variance conventions, shape, quartiles and range in one aggregation."""
-    p = lambda q: F.percentile(value, q)
-    return df.groupBy(*(keys or [])).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), p(0.5).alias("median"), F.var_pop(value).alias("var_pop"), F.var_samp(value).alias("var_samp"),
-        F.stddev_pop(value).alias("sd_pop"), F.stddev_samp(value).alias("sd_samp"), (p(0.75) - p(0.25)).alias("iqr"), (F.max(value) - F.min(value)).alias("range"),
+    """Both variance conventions, shape and range in one aggregation; quartiles from sorted ranges."""
+    keys = list(keys or [])
+    made = df.groupBy(*keys).agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("var_pop"), F.var_samp(value).alias("var_samp"),
+        F.stddev_pop(value).alias("sd_pop"), F.stddev_samp(value).alias("sd_samp"), (F.max(value) - F.min(value)).alias("range"),
         skewness_sample(value).alias("skewness"), kurtosis_sample(value).alias("kurtosis"),
     )
+    full = with_quantiles(made, df, value, {"median": 0.5, "_q1": 0.25, "_q3": 0.75}, keys).withColumn("iqr", F.col("_q3") - F.col("_q1"))
+    return full.select(*keys, "n", "mean", "median", "var_pop", "var_samp", "sd_pop", "sd_samp", "iqr", "range", "skewness", "kurtosis")
 
 
 def linear_regression(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
@@ -101,14 +106,15 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 def bin_counts(df: DataFrame, value: str) -> DataFrame:
     """Bins by the rules of Sturges, Scott and Freedman-Diaconis."""
-    n, spread = F.count(value), F.max(value) - F.min(value)
-    width = lambda w: F.when(w > 0, F.ceil(spread / w)).otherwise(1).cast("long")
-    iqr = F.percentile(value, 0.75) - F.percentile(value, 0.25)
-    return df.agg(F.ceil(F.log2(n) + 1).cast("long").alias("sturges"), width(3.49 * F.stddev_samp(value) / F.cbrt(n)).alias("scott"), width(2 * iqr / F.cbrt(n)).alias("freedman_diaconis"))
+    made = df.agg(F.count(value).alias("n"), (F.max(value) - F.min(value)).alias("spread"), F.stddev_samp(value).alias("sd"))
+    full = with_quantiles(made, df, value, {"q1": 0.25, "q3": 0.75})
+    n = F.col("n")
+    width = lambda w: F.when(w > 0, F.ceil(F.col("spread") / w)).otherwise(1).cast("long")
+    return full.select(F.ceil(F.log2(n) + 1).cast("long").alias("sturges"), width(3.49 * F.col("sd") / F.cbrt(n)).alias("scott"), width(2 * (F.col("q3") - F.col("q1")) / F.cbrt(n)).alias("freedman_diaconis"))
 
 
 def iqr_outliers(df: DataFrame, value: str, factor: float = 1.5) -> DataFrame:
-    q = df.agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"))
+    q = exact_quantiles(df, value, {"q1": 0.25, "q3": 0.75})
     out = df.crossJoin(F.broadcast(q))
     reach = factor * (F.col("q3") - F.col("q1"))
     return out.where((F.col(value) < F.col("q1") - reach) | (F.col(value) > F.col("q3") + reach)).drop("q1", "q3")

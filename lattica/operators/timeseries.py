@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.operators.folds import fold_rows
+from lattica.operators.quantiles import with_quantiles
 
 AGGREGATES = {
     "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count,
@@ -30,8 +31,10 @@ def query_range(df: DataFrame, start: int, end: int, interval: int | None = None
 
 
 def summary(df: DataFrame, value: str = "value") -> DataFrame:
-    made = {"count": F.count(value), "sum": F.sum(value), "min": F.min(value), "max": F.max(value), "avg": F.avg(value), "p50": F.percentile(value, 0.5), "p95": F.percentile(value, 0.95), "p99": F.percentile(value, 0.99)}
-    return df.agg(*[F.coalesce(c, F.lit(0.0) if k != "count" else F.lit(0)).alias(k) for k, c in made.items()])
+    made = {"count": F.count(value), "sum": F.sum(value), "min": F.min(value), "max": F.max(value), "avg": F.avg(value)}
+    wanted = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    full = with_quantiles(df.agg(*[c.alias(k) for k, c in made.items()]), df, value, wanted)
+    return full.select(*[F.coalesce(k, F.lit(0.0) if k != "count" else F.lit(0)).alias(k) for k in (*made, *wanted)])
 
 
 def rolling(df: DataFrame, window: int, agg: str, keys: list[str], ts: str = "ms", value: str = "value") -> DataFrame:

@@ -8,6 +8,7 @@ from lattica.operators import joins as J
 from lattica.operators import predicates as P
 from lattica.operators import sets as S
 from lattica.operators.builder import Query, after
+from lattica.operators.quantiles import exact_quantiles
 from lattica.session import table as T
 
 
@@ -68,7 +69,7 @@ QUERIES = {
     "join_zip": (lambda s, d: J.zip_join(T(s, d, "supplier").select("s_suppkey"), T(s, d, "nation").select("n_nationkey"), ["s_suppkey"], ["n_nationkey"]).select("s_suppkey", "n_nationkey"), "SELECT s_suppkey, n_nationkey FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier) JOIN (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) USING (i)"),
     "join_batch_lookup": (lambda s, d: s.createDataFrame([(i, k) for i, k in enumerate([9, 3, 9, 700000])], "ord int, k long").join(T(s, d, "part").select("p_partkey", "p_name"), F.col("k") == F.col("p_partkey"), "left").select("ord", "k", "p_name"), "SELECT CAST(ord AS INTEGER) AS ord, CAST(k AS BIGINT) AS k, p_name FROM (VALUES (0, 9), (1, 3), (2, 9), (3, 700000)) v(ord, k) LEFT JOIN part ON k = p_partkey"),
     # ---- aggregates, ordering, sets
-    "agg_percentiles": (lambda s, d: T(s, d, "lineitem").groupBy("l_returnflag").agg(*[F.round(F.percentile("l_extendedprice", p), 4).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)]), "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem GROUP BY 1"),
+    "agg_percentiles": (lambda s, d: exact_quantiles(T(s, d, "lineitem"), "l_extendedprice", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, ["l_returnflag"]).select("l_returnflag", *[F.round(p, 4).alias(p) for p in ("p50", "p95", "p99")]), "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem GROUP BY 1"),
     "agg_grouping_sets": (lambda s, d: T(s, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")).groupingSets([["day"], ["user_id"], ["event_type"]], "day", "user_id", "event_type").agg(F.count("*").alias("n")), "SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, event_type, count(*) AS n FROM events GROUP BY GROUPING SETS ((1), (user_id), (event_type))"),
     "agg_distinct_by_first": (lambda s, d: S.first_by(T(s, d, "events").select("event_id", "user_id", "event_type"), ["user_id"], ["event_id"]), "SELECT arg_min(event_id, event_id) AS event_id, user_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id"),
     "agg_frequencies": (lambda s, d: S.frequencies(T(s, d, "documents"), "lang"), "SELECT lang, count(*) AS n FROM documents GROUP BY lang"),
