@@ -11,7 +11,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with queries, in the order of the operator inventory.
-MODULES: list[str] = ["relational", "series", "products", "texts", "graphs", "more", "operations", "formats", "structures", "records"]
+MODULES: list[str] = ["relational", "series", "products", "texts", "graphs", "more", "operations", "formats", "structures", "records", "spreading"]
 
 
 def _registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:

@@ -117,7 +117,7 @@ def longest_common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([0 if x is None or y is None else one(x, y) for x, y in zip(a, b)], dtype="int64")
 
 
-def sentiment(words: Column, lexicon: dict[str, float] | None = None) -> Column:
+def sentiment(words: Column, lexicon: dict[str, float] | None = None, negations=NEGATIONS, intensifiers=INTENSIFIERS, diminishers=DIMINISHERS) -> Column:
     """Sum of word scores: a negation flips, an intensifier or diminisher scales the next scored word."""
     scores = F.create_map(*[F.lit(x) for pair in (lexicon or LEXICON).items() for x in pair])
     inside = lambda w, options: w.isin(*options)
@@ -127,9 +127,9 @@ def sentiment(words: Column, lexicon: dict[str, float] | None = None) -> Column:
         value = scores[w]
         return (
             F.when(value.isNotNull(), F.struct((acc["sum"] + value * acc["sign"] * acc["scale"]).alias("sum"), F.lit(1.0).alias("sign"), F.lit(1.0).alias("scale")))
-            .when(inside(w, NEGATIONS), F.struct(acc["sum"].alias("sum"), (-acc["sign"]).alias("sign"), acc["scale"].alias("scale")))
-            .when(inside(w, INTENSIFIERS), F.struct(acc["sum"].alias("sum"), acc["sign"].alias("sign"), F.lit(1.8).alias("scale")))
-            .when(inside(w, DIMINISHERS), F.struct(acc["sum"].alias("sum"), acc["sign"].alias("sign"), F.lit(0.5).alias("scale")))
+            .when(inside(w, negations), F.struct(acc["sum"].alias("sum"), (-acc["sign"]).alias("sign"), acc["scale"].alias("scale")))
+            .when(inside(w, intensifiers), F.struct(acc["sum"].alias("sum"), acc["sign"].alias("sign"), F.lit(1.8).alias("scale")))
+            .when(inside(w, diminishers), F.struct(acc["sum"].alias("sum"), acc["sign"].alias("sign"), F.lit(0.5).alias("scale")))
             .otherwise(acc)
         )
 

@@ -452,7 +452,7 @@ def cut_metrics(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return crossing.crossJoin(sizes)
 
 
-def influence_spread(edges: DataFrame, seeds: list, simulations: int = 100, seed: int = 42, max_depth: int = 20) -> DataFrame:
+def influence_spread(edges: DataFrame, seeds: list, simulations: int = 100, seed: int = 42) -> DataFrame:
     """Independent cascade: an edge is live in a run if a hash of (seed, run, edge) falls under its weight (1 at
     most); the mean number of nodes that the seeds reach over live edges."""
     spark = edges.sparkSession
@@ -461,7 +461,7 @@ def influence_spread(edges: DataFrame, seeds: list, simulations: int = 100, seed
     live = cut(edges.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1)))).where(chance < F.least(F.col("weight"), F.lit(1.0))).select("run", F.col("source").alias("u"), F.col("target").alias("v")).distinct())
     front = runs.select("run", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("id"))
     seen = front
-    for _ in range(max_depth):
+    while True:
         front = cut(front.join(live, (front.run == live.run) & (front.id == live.u)).select(front.run, F.col("v").alias("id")).distinct().join(seen, ["run", "id"], "left_anti"))
         if not front.limit(1).count():
             break
