@@ -109,20 +109,25 @@ def shortest_path(edges: DataFrame, start, end, max_hops: int = 10, direction: s
     return bfs(edges, start, max_hops, direction).where(F.col("id") == F.lit(end)).select("depth", "path")
 
 
-def bidirectional_distance(edges: DataFrame, start, end, most: int = 10) -> int | None:
-    """Hops between two nodes: two frontiers grow in turn until they meet; a driver-read scalar a round."""
+def bidirectional_distance(edges: DataFrame, start, end, most: int | None = None) -> int | None:
+    """Hops between two nodes, at any distance unless a most is named, or None: two frontiers grow in turn until they
+    meet or one has nowhere to go; a driver-read scalar a round."""
     ahead, back = cut(oriented(edges, "out")), cut(oriented(edges, "in"))
     spark = edges.sparkSession
     fronts = [spark.range(1).select(F.lit(x).alias("id"), F.lit(0).alias("d")) for x in (start, end)]
     seen = list(fronts)
-    for k in range(most + 1):
+    for k in count() if most is None else range(most + 1):
         met = seen[0].alias("a").join(seen[1].alias("b"), "id").agg(F.min(F.col("a.d") + F.col("b.d")).alias("d")).first()["d"]
         if met is not None:
             return int(met)
         side = k % 2
         new = fronts[side].join(ahead if side == 0 else back, F.col("id") == F.col("u")).select(F.col("v").alias("id")).distinct().join(seen[side].select("id"), "id", "left_anti")
         fronts[side] = cut(new.select("id", F.lit(k // 2 + 1).alias("d")))
+        if not fronts[side].limit(1).count():
+            break
         seen[side] = seen[side].union(fronts[side])
+        if k % 16 > 13:
+            seen[side] = cut(seen[side])
     return None
 
 

@@ -75,7 +75,7 @@ QUERIES = {
     "graph_bfs": (lambda s, d: G.bfs(trade(s, d), 0).select("id", "depth"), f"WITH RECURSIVE {_G}, {_DIST} SELECT id, depth FROM m WHERE s = 0 UNION ALL SELECT 0, 0"),
     "graph_bfs_both_typed": (lambda s, d: G.bfs(trade(s, d), 4, 6, "both", ["first"]).select("id", "depth"), f"WITH RECURSIVE {_G}, f AS (SELECT source, target FROM g WHERE type = 'first' UNION SELECT target, source FROM g WHERE type = 'first'), d AS (SELECT 4 AS id, 0 AS depth UNION SELECT target, depth + 1 FROM d JOIN f ON source = id WHERE depth < 6) SELECT id, min(depth) AS depth FROM d GROUP BY 1"),
     "graph_shortest_path": (lambda s, d: G.shortest_path(trade(s, d), 1, 20).select("depth"), f"WITH RECURSIVE {_G}, {_DIST} SELECT depth FROM m WHERE s = 1 AND id = 20"),
-    "graph_bidirectional": (lambda s, d: s.createDataFrame([(G.bidirectional_distance(trade(s, d), 1, 20),)], "depth int"), f"WITH RECURSIVE {_G}, {_DIST} SELECT depth FROM m WHERE s = 1 AND id = 20"),
+    "graph_bidirectional": (lambda s, d: s.createDataFrame([(G.bidirectional_distance(trade(s, d), 1, 20, 12),)], "depth int").where("depth is not null"), f"WITH RECURSIVE {_G}, {_DIST} SELECT depth FROM m WHERE s = 1 AND id = 20"),
     "graph_pattern": (lambda s, d: J.pattern_join(G.vertices(trade(s, d)).withColumn("type", F.lit("nation")), trade(s, d), {"a": "nation", "b": None, "c": None}, [("a", "b", "first", "outbound"), ("b", "c", None, "any")]).select("a", "b", "c"), f"WITH {_G} SELECT x.source AS a, x.target AS b, y.target AS c FROM g x JOIN (SELECT source, target FROM g UNION ALL SELECT target, source FROM g) y ON x.target = y.source WHERE x.type = 'first'"),
     "graph_pagerank": (lambda s, d: _r(A.page_rank(trade(s, d), rounds=12, tolerance=None), 9), _page_rank(_G, 12)),
     "graph_pagerank_large": (lambda s, d: _r(A.page_rank(bought(s, d), rounds=5, tolerance=None), 9), _page_rank(_B, 5)),
