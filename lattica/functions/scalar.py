@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -189,22 +191,44 @@ def js_round(c: Column | str, digits: int = 0) -> Column:
     return F.floor(_c(c) * 10**digits + 0.5) / 10**digits
 
 
-def gcd(a: Column, b: Column, steps: int = 45) -> Column:
-    """Euclid as a fold; 45 steps are enough for 32-bit numbers."""
+def gcd(a: Column, b: Column) -> Column:
+    """Euclid as a fold, of as many steps as the smaller number can take (Lamé: its logarithm to the golden ratio)."""
+    smaller = F.least(F.abs(a.cast("double")), F.abs(b.cast("double")))
+    steps = F.floor(F.log(F.coalesce(smaller, F.lit(0.0)) + 1) / F.log(F.lit((1 + 5**0.5) / 2))).cast("int") + 3
     state = F.struct(F.abs(a).cast("long").alias("x"), F.abs(b).cast("long").alias("y"))
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state, lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), F.pmod(s["x"], s["y"]).alias("y"))))
+    done = F.aggregate(F.sequence(F.lit(1), steps), state, lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), F.pmod(s["x"], s["y"]).alias("y"))))
     return done["x"]
 
 
 def divisors(n: Column) -> Column:
-    """All divisors of a small positive number, ascending."""
-    top = F.greatest(n.cast("long"), F.lit(1).cast("long"))
-    return F.filter(F.sequence(F.lit(1).cast("long"), top), lambda i: (n >= 1) & (n.cast("long") % i == 0))
+    """All divisors of a positive number, ascending: those up to its root, and what each leaves."""
+    whole = F.greatest(n.cast("long"), F.lit(1).cast("long"))
+    low = F.filter(F.sequence(F.lit(1).cast("long"), F.floor(F.sqrt(whole.cast("double")))), lambda i: (n >= 1) & (whole % i == 0))
+    return F.array_distinct(F.concat(low, F.reverse(F.transform(low, lambda i: F.call_function("div", whole, i)))))
+
+
+def divisor_counts(n: pd.Series) -> pd.Series:
+    """How many divisors positive numbers have, none for others: trial division of all numbers of a batch at once,
+    each up to the root of what is left of it."""
+    whole = n.fillna(0).to_numpy(dtype="int64")
+    found, left, at = (whole > 0).astype("int64"), np.maximum(whole, 1), np.arange(len(whole))
+    p = 2
+    while len(at := at[left[at] // p >= p]):
+        hit = at[left[at] % p == 0]
+        power = np.ones(len(whole), "int64")
+        while len(hit):
+            left[hit] //= p
+            power[hit] += 1
+            hit = hit[left[hit] % p == 0]
+        found *= power
+        p += 1 if p == 2 else 2
+    return pd.Series(np.where(left > 1, 2, 1) * found)
 
 
 def is_prime(n: Column) -> Column:
     root = F.floor(F.sqrt(n.cast("double"))).cast("long")
-    return (n > 1) & ~F.exists(F.when(root >= 2, F.sequence(F.lit(2).cast("long"), root)).otherwise(F.array().cast("array<bigint>")), lambda i: n.cast("long") % i == 0)
+    odd = F.when(root >= 3, F.sequence(F.lit(3).cast("long"), root, F.lit(2).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return (n > 1) & ((n == 2) | (n.cast("long") % 2 != 0)) & ~F.exists(odd, lambda i: n.cast("long") % i == 0)
 
 
 def digital_root(n: Column) -> Column:
