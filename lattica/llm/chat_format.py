@@ -5,9 +5,10 @@ output extends the one before, the added part is the turn's span, else the templ
 the turn is reported. A turn's text lies where two renderings that differ in this text alone differ; after a
 rewrite, texts are looked for in the last output, and one that it no longer has gets no place.
 
-Prefixes of a whole conversation make work that grows with the square of its turns. A template may therefore
-have an incremental form (``Template.add``), which is compared with whole prefixes on probes; then a turn is
-rendered once, and a conversation of any length is formatted as a sorted stream in bounded memory.
+Prefixes of a whole conversation make work that grows with the square of its turns; this holds for the built-in
+template too, which keeps the short pieces it has made, so that a prefix is one joining of them. A caller may pass a
+template with an incremental form (``Template.add``), which is compared with whole prefixes on probes; then a turn
+is rendered once, and a conversation of any length is formatted as a sorted stream in bounded memory.
 
 Rows of a conversation are ordered by turn, then role and text, nulls first; null roles and texts are empty;
 rows with a null conversation form one of their own; repeated rows are turns of their own; very long turns and
@@ -21,6 +22,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import groupby
 
 import pyarrow as pa
@@ -34,6 +36,8 @@ CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
 _OPEN, _MIDDLE, _CLOSE = "<s>[INST] ", " [/INST]", "</s>"
 #: Texts that stand in for a turn's own, to find its place.
 _MARKS = ("\u0001", "\u0002")
+#: Pieces that the built-in template keeps, and their most characters.
+_KEPT, _SHORT = 4096, 4096
 
 
 def escape(text: str) -> str:
@@ -50,11 +54,19 @@ def unescape(text: str) -> str:
 
 def render(turns: list[Turn]) -> str:
     """The built-in template."""
-    return "".join(_piece(t) for t in turns)
+    return "".join([_piece(t) for t in turns])
 
 
 def _piece(turn: Turn) -> str:
-    return f"{_OPEN}{escape(turn['role'])}{_MIDDLE}{escape(turn['text'])}{_CLOSE}"
+    role, text = turn["role"], turn["text"]
+    return (_kept if len(role) + len(text) <= _SHORT else _made)(role, text)
+
+
+def _made(role: str, text: str) -> str:
+    return f"{_OPEN}{escape(role)}{_MIDDLE}{escape(text)}{_CLOSE}"
+
+
+_kept = lru_cache(_KEPT)(_made)
 
 
 def read_turn(span: str) -> tuple[str, str, int, int]:
@@ -86,7 +98,9 @@ class Template:
                     raise ValueError(f"the incremental form of the template differs from it at turn {k}")
 
 
-BUILT_IN = Template(render, lambda k, turn: _piece(turn), unescape)
+BUILT_IN = Template(render, unescape=unescape)
+#: The built-in template for streams; the query doesn't use it.
+STREAMED = Template(render, lambda k, turn: _piece(turn), unescape)
 
 
 def _common(a: str, b: str) -> int:
